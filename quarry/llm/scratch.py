@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _OWN: list[str] = []
@@ -47,3 +49,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
         spark.conf.set(key, str(rows))
+
+
+def slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+    """The texts of an Arrow batch, null as empty, in slices of about so many characters; a text is never cut."""
+    first, held, size = 0, [], 0
+    for k, x in enumerate(batch.column("text")):
+        held.append(x.as_py() or "")
+        size += len(held[-1])
+        if size >= chars:
+            yield first, held
+            first, held, size = k + 1, [], 0
+    if held:
+        yield first, held
