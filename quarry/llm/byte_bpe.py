@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import Cache, Merges, merge_many
-from quarry.llm.scratch import slices, small_batches
+from quarry.llm.scratch import slices
+from quarry.session import small_batches
 
 #: Chunks that no match of the pattern crosses: text with the one space before it, or white space.
 _CHUNKS = re.compile(r" ?\S+|\s+(?!\S)|\s+")

@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.llm.components import connected_components
-from quarry.llm.scratch import small_batches, written
+from quarry.llm.scratch import written
+from quarry.session import small_batches
 
 
 def passes_needed(vectors: int, tile_rows: int, threshold: float, recall: float = 0.97) -> int:

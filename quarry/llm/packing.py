@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.bpe import Cache
-from quarry.llm.scratch import slices, small_batches, written
+from quarry.llm.scratch import slices, written
+from quarry.session import small_batches
 
 _ODD = re.compile("[\x1c-\x1f]")
 

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, embeddings, packing, simhash
+from quarry.llm import byte_bpe, embeddings, language, packing, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,5 +36,23 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_packing, op3_byte_bpe, op4_embedding_near_dedup)}
+def _remainder(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = language.fit(docs, F.coalesce(_remainder(5) != 0, F.lit(False)))
+    held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
+    return language.predicted(docs, model).select("doc_id", held_out, "lang_pred", "score")
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels, F.coalesce(_remainder(3) != 1, F.lit(False)))
+    held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
+    return toxicity.scored(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_packing, op3_byte_bpe, op4_embedding_near_dedup, op6_language_id, op7_toxicity)}
 ORACLES: dict[str, str] = {}

@@ -44,13 +44,6 @@ def drop(table: DataFrame) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Keeps Arrow batches of whole texts small: at most so many rows go to a Python worker at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
-
-
 def slices(batch: pa.RecordBatch, chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
     """The texts of an Arrow batch, null as empty, in slices of about so many characters; a text is never cut."""
     first, held, size = 0, [], 0

@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.components import connected_components
-from quarry.llm.scratch import drop, small_batches, written
+from quarry.llm.scratch import drop, written
+from quarry.session import small_batches
 
 BITS = 64
 
