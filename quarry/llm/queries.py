@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, embeddings, language, packing, simhash, toxicity
+from quarry.llm import byte_bpe, embeddings, language, licenses, packing, secrets, simhash, toxicity, urls, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,5 +54,81 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash_near_dedup, op2_packing, op3_byte_bpe, op4_embedding_near_dedup, op6_language_id, op7_toxicity)}
-ORACLES: dict[str, str] = {}
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.spans(_table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.BASE)]
+    return found.select("doc_id", *counts, F.sha2(secrets.listed("base").cast("binary"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
+
+
+#: The rules of the query, as host and path: fixed values.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    return urls.judged(_table(spark, sf_dir, "pages"), rules)
+
+
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vafile.top_k(_table(spark, sf_dir, "embeddings"))
+
+
+def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return licenses.scanned(docs.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))))
+
+
+_OP8_SQL = """
+with cut as (
+  select page_id, case when position('://' in url) > 0 then substring(url, position('://' in url) + 3) end as tail from pages
+), parts as (
+  select page_id,
+    coalesce(translate(regexp_extract(tail, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') as host,
+    coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') as path
+  from cut
+), rules(h, p, action) as (
+  values ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')
+), best as (
+  select host, path, arg_max(h || p, length(h || p) * 1000 + length(h)) as rule, arg_max(action, length(h || p) * 1000 + length(h)) as action
+  from (select distinct host, path from parts) d join rules on (host = h or ends_with(host, '.' || h)) and starts_with(path, p)
+  group by host, path
+)
+select page_id, parts.host, parts.path, rule, coalesce(action, 'allow') as verdict
+from parts left join best on parts.host = best.host and parts.path = best.path
+"""
+
+_OP9_SQL = """
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+), ranked as (
+  select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from scored
+)
+select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 5
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_simhash_near_dedup,
+        op2_packing,
+        op3_byte_bpe,
+        op4_embedding_near_dedup,
+        op5_secret_scans,
+        op6_language_id,
+        op7_toxicity,
+        op8_url_filters,
+        op9_exact_top_k,
+        op10_license_scans,
+    )
+}
+ORACLES: dict[str, str] = {"op8_url_filters": _OP8_SQL, "op9_exact_top_k": _OP9_SQL}
