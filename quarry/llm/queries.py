@@ -18,10 +18,12 @@ def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _packed_digests(packing.packed(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+    return packed_documents(_table(spark, sf_dir, "documents"))
 
 
-def _packed_digests(pieces: DataFrame) -> DataFrame:
+def packed_documents(docs: DataFrame) -> DataFrame:
+    """The pieces of packed sequences, with a checksum in place of their ids."""
+    pieces = packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
@@ -84,6 +86,12 @@ def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scanned(docs.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports this module
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 _OP8_SQL = """
 with cut as (
   select page_id, case when position('://' in url) > 0 then substring(url, position('://' in url) + 3) end as tail from pages
@@ -129,6 +137,7 @@ QUERIES = {
         op8_url_filters,
         op9_exact_top_k,
         op10_license_scans,
+        pipeline,
     )
 }
 ORACLES: dict[str, str] = {"op8_url_filters": _OP8_SQL, "op9_exact_top_k": _OP9_SQL}
