@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,18 +33,27 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: a lambda that refers to an expression from outside would compute it for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def ngrams(items: Column, n: int) -> Column:
     """All n-grams of an array of words; a shorter array has one, of all its words, and an empty one none."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(items) - n + 1, F.lit(1)))
-    return F.when(F.size(items) > 0, F.transform(starts, lambda i: F.array_join(F.slice(items, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    def cut(own: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(own) - n + 1, F.lit(1)))
+        return F.when(F.size(own) > 0, F.transform(starts, lambda i: F.array_join(F.slice(own, i, n), " "))).otherwise(F.array().cast("array<string>"))
+
+    return let(items, cut)
 
 
 def repeated_share(items: Column) -> Column:
     """The share of items that repeat an earlier one; 0 for none."""
-    return F.when(F.size(items) > 0, (F.size(items) - F.size(F.array_distinct(items))) / F.size(items)).otherwise(0.0)
+    return let(items, lambda x: F.when(F.size(x) > 0, (F.size(x) - F.size(F.array_distinct(x))) / F.size(x)).otherwise(0.0))
 
 
 def share(items: Column, pattern: str) -> Column:
     """The share of items in which the pattern is found; 0 for none."""
-    hits = F.size(F.filter(items, lambda x: F.regexp_like(x, F.lit(pattern))))
-    return F.when(F.size(items) > 0, hits / F.size(items)).otherwise(0.0)
+    hits = lambda x: F.size(F.filter(x, lambda y: F.regexp_like(y, F.lit(pattern))))
+    return let(items, lambda x: F.when(F.size(x) > 0, hits(x) / F.size(x)).otherwise(0.0))

@@ -114,8 +114,7 @@ def spam_reason(text: Column, links: Column, blocked: tuple[str, ...] = (), keyw
 
 def repetition(text: Column, n: int = 10) -> Column:
     """The share of word n-grams, in lower case, that repeat an earlier one; 0 for fewer than n words."""
-    own = tx.words(F.lower(text))
-    return F.when(F.size(own) < n, 0.0).otherwise(tx.repeated_share(tx.ngrams(own, n)))
+    return tx.let(tx.words(F.lower(text)), lambda own: F.when(F.size(own) < n, 0.0).otherwise(tx.repeated_share(tx.ngrams(own, n))))
 
 
 def redacted(text: Column, kinds: tuple[str, ...] | None = None) -> Column:

@@ -87,8 +87,7 @@ def repetition_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     "list_transform(generate_series(1, greatest(len(w) - 3, 1)), lambda i: array_to_string(list_slice(w, i, i + 3), ' ')) as g from (select doc_id, " + _W.format("text") + " as w from documents))"
 )
 def generation_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tx.words(F.col("text"))
-    ratio = F.when(F.size(own) < 5, 0.0).otherwise(F.round(tx.repeated_share(tx.ngrams(own, 4)), 6))
+    ratio = tx.let(tx.words(F.col("text")), lambda own: F.when(F.size(own) < 5, 0.0).otherwise(F.round(tx.repeated_share(tx.ngrams(own, 4)), 6)))
     return table(spark, sf_dir, "documents").select("doc_id", ratio.alias("repetition"))
 
 
@@ -235,9 +234,9 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     + _W.format("text") + " as w from documents)"
 )
 def consecutive_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = tx.words(F.col("text"))
-    same = F.zip_with(own, F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), lambda a, b: a == b)
-    return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(same, lambda x: F.coalesce(x, F.lit(False)))).cast("long").alias("repeats"))
+    same = lambda own: F.zip_with(own, F.slice(own, 2, F.greatest(F.size(own), F.lit(1))), lambda a, b: a == b)
+    count = tx.let(tx.words(F.col("text")), lambda own: F.size(F.filter(same(own), lambda x: F.coalesce(x, F.lit(False)))))
+    return table(spark, sf_dir, "documents").select("doc_id", count.cast("long").alias("repeats"))
 
 
 _HOT = (
