@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarry.functions.text import let
 from quarry.llm.scratch import written
 
 #: The base patterns, in the order of their kinds, with the group whose length counts and the least length. As runs of one class
@@ -44,14 +45,14 @@ def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
         own = F.array(F.struct(s.alias("s"), (s + m["w"]).alias("e")))
         return F.struct((s + m["w"]).alias("at"), F.when(m["p"] >= least, F.concat(acc["out"], own)).otherwise(acc["out"]).alias("out"))
 
-    local = F.transform(blocks(items), lambda b: F.aggregate(b, start, step))
+    sums = lambda x: F.transform(blocks(x), lambda b: F.aggregate(b, start, step))
 
     def join(acc: Column, b: Column) -> Column:
         moved = F.transform(b["out"], lambda x: F.struct((x["s"] + acc["at"]).alias("s"), (x["e"] + acc["at"]).alias("e")))
         return F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["out"], F.array(moved)).alias("out"))
 
     nested = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<struct<s:bigint,e:bigint>>>").alias("out"))
-    found = F.flatten(F.aggregate(local, nested, join)["out"])
+    found = F.flatten(F.aggregate(let(items, sums), nested, join)["out"])
     return F.when(F.regexp_like(text, regex), found).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
 
 
