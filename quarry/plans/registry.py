@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import corpus
+from quarry.plans import corpus, sets
 
-QUERIES: dict = {**corpus.QUERIES}
-ORACLES: dict = {**corpus.ORACLES}
+QUERIES: dict = {**corpus.QUERIES, **sets.QUERIES}
+ORACLES: dict = {**corpus.ORACLES, **sets.ORACLES}
