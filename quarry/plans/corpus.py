@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import dedup, prose, quality
+from quarry.operators import cleaning, dedup, prose, quality
 from quarry.plans.tables import table
+from quarry.session import small_batches
+from quarry.sources import extract
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -250,3 +252,30 @@ _HOT = (
 @query(_HOT)
 def decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.shared_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "documents").select("doc_id", cleaning.normalized(F.col("text")).alias("text"))
+
+
+@query()
+def compression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    ratio = cleaning.compression_ratio(F.col("text")).alias("ratio")
+    reason = F.when(F.col("ratio") < 0.10, "low_entropy").when(F.col("ratio") > 0.90, "high_entropy")
+    return table(spark, sf_dir, "documents").select("doc_id", ratio).withColumn("reason", reason)
+
+
+@query()
+def html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, "pages").select("page_id", extract.html_text(F.col("html")).alias("text"))
+
+
+@query("select doc_id, row_number() over (order by md5(doc_id::varchar || ':7'), doc_id) as rank from documents order by rank limit 100")
+def seeded_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(":7")).cast("binary"))
+    first = table(spark, sf_dir, "documents").select("doc_id", key.alias("key")).orderBy("key", "doc_id").limit(100)
+    return first.select("doc_id", F.row_number().over(Window.orderBy("key", "doc_id")).cast("long").alias("rank"))

@@ -5,8 +5,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import chat, dedup, prose, quality, tokens
+from quarry.operators import chat, cleaning, dedup, prose, quality, tokens
 from quarry.plans import registry
+from quarry.sources import extract
 
 DATA = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -74,3 +75,16 @@ def test_against_sql(spark, name):
     columns = ", ".join(f'"{c}"' for c in sorted(df.columns))
     own = sorted(repr(list(r)) for r in df.select(*sorted(df.columns)).collect())
     assert own == sorted(repr(list(r)) for r in con.sql(f"select {columns} from ({registry.ORACLES[name]})").fetchall())
+
+
+def test_cleaning(spark):
+    assert one(spark, cleaning.normalized(F.col("text")), "a  b \r\nﬁ\u200bx\x07\n\n\n\nend  ") == "a b\nfix\n\nend"
+    assert one(spark, cleaning.merged_paragraphs(F.col("text")), "a\nb\n\nc") == "a b\n\nc"
+    assert one(spark, cleaning.notice_text(F.col("text")), "<p>Hello\x00 <b>world</b></p>") == "Hello world"
+
+
+def test_extraction(spark):
+    page = "<html><head><title>t</title></head><nav>menu</nav><p>One &amp; two</p><p>One &amp; two</p><div>three</div></html>"
+    assert one(spark, extract.html_text(F.col("text")), page) == "One & two\nthree"
+    assert one(spark, extract.json_text(F.col("text")), '{"a":[{"text":" x "},{"text":["y",{"text":"z"}]}],"text":{"text":"no"}}') == "x\ny\nz"
+    assert one(spark, extract.json_text(F.col("text")), "not json") is None
