@@ -102,7 +102,7 @@ def _frequencies(files: DataFrame, vocabulary: set[str]) -> tuple[dict[str, int]
     return found, found.get(None, 0)
 
 
-def scanned(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8) -> DataFrame:
+def scanned(files: DataFrame, templates: dict[str, str] | None = None, threshold: float = 0.8, salts: int = 32) -> DataFrame:
     """(doc_id, path, license, score, basis, directory) for each row of files (doc_id, path, text; other columns are not looked at).
 
     Every whole text, and every line of it, is compared with each template by the cosine of TF-IDF vectors; document frequencies of
@@ -111,7 +111,7 @@ def scanned(files: DataFrame, templates: dict[str, str] | None = None, threshold
     that holds a licence file (`inherited`, with the directory); of several there, the best score counts, then the first name.
     Otherwise license, basis and directory are null and score is the best cosine, which rounds to 12 digits before names are
     compared. Null texts count as empty and score 0; a null path inherits nothing; repeated rows and null doc_ids give a row each; an
-    empty table gives no rows.
+    empty table gives no rows. The join that hands licences down divides each directory into `salts` parts.
     """
     small_batches(files.sparkSession)
     templates = TEMPLATES if templates is None else templates
@@ -132,7 +132,9 @@ def scanned(files: DataFrame, templates: dict[str, str] | None = None, threshold
     bare = own.where("license is null and path is not null").select(_parent("path").alias("home")).distinct()
     above = bare.select("home", F.explode(_ancestors("home")).alias("directory"))
     nearest = above.join(holders, "directory").groupBy("home").agg(F.max_by(F.struct("directory", "given"), F.length("directory")).alias("from"))
-    joined = own.withColumn("home", F.when(F.col("license").isNull(), _parent("path"))).join(nearest, "home", "left")
+    # A directory may hold a third of all files, and files with a licence have no home to look up: both are spread over the salts.
+    salted = own.select("*", F.when(F.col("license").isNull(), _parent("path")).alias("home"), F.pmod(F.xxhash64("doc_id", "path"), F.lit(salts)).alias("salt"))
+    joined = salted.join(nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)).cast("array<bigint>"))), ["home", "salt"], "left")
     basis = F.when(F.col("license").isNotNull(), F.when(F.col("whole"), "file").otherwise("header")).when(F.col("from").isNotNull(), "inherited")
     return joined.select("doc_id", "path", F.coalesce("license", "from.given.license").alias("license"), "score", basis.alias("basis"), F.col("from.directory").alias("directory"))
 
