@@ -53,3 +53,18 @@ def compression_ratio(text: Column) -> Column:
         return s.map(lambda t: 0.0 if not t else len(zlib.compress(t.encode(), 6)) / len(t.encode()))
 
     return ratio(text)
+
+
+def without_corrupted_lines(text: Column, most: float = 0.25) -> Column:
+    """Drops lines in which over `most` of the characters but spaces are of the extended Latin blocks, U+0100 to U+02FF."""
+
+    def sound(line: Column) -> Column:
+        own = F.length(F.replace(tx.stripped(line), F.lit(" "), F.lit("")))
+        return (own == 0) | (F.regexp_count(line, F.lit(r"[Ā-˿]")) <= own * most)
+
+    return F.array_join(F.filter(F.split(text, "\n"), sound), "\n")
+
+
+def without_law_references(text: Column) -> Column:
+    """Removes what introduces a reference to European law, and leaves the rest of its line."""
+    return F.regexp_replace(text, r"(?U)ELI:\s*http://data\.europa\.eu/eli/", "")

@@ -65,7 +65,7 @@ def test_greedy_near(spark):
     assert kept == {1: True, 2: False, 3: True, 4: True, 5: False}
 
 
-@pytest.mark.parametrize("name", ["quality_report", "spam_verdicts", "exact_dedup", "source_rollup", "chat_validity", "role_counts", "segments_keep", "embedding_health", "pricing_summary"])
+@pytest.mark.parametrize("name", ["quality_report", "spam_verdicts", "exact_dedup", "source_rollup", "chat_validity", "role_counts", "segments_keep", "embedding_health", "pricing_summary", "retrieval_metrics", "decision_metrics", "group_advantages", "mixture_quotas", "volume_cap", "sound_lines"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     con.execute("set timezone='UTC'")
