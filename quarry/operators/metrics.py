@@ -85,3 +85,18 @@ def quotas(weights: DataFrame, name: str, weight: str, block: int = 10_000) -> D
     left = F.lit(block) - F.sum("q").over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("raw") - F.col("q"), 9)), name))
     return raw.select(name, (F.col("q") + F.when(place <= left, 1).otherwise(0)).alias("quota"))
+
+
+def choices(options: DataFrame) -> DataFrame:
+    """Accuracy of the option with the highest log probability, whole and for each character, of (item, option, logp, chars, gold); ties go to the lowest option."""
+    best = [F.max_by("option", F.struct(score, -F.col("option"))).alias(name) for score, name in ((F.col("logp"), "whole"), (F.col("logp") / F.col("chars"), "per_char"))]
+    items = options.groupBy("item").agg(*best, F.first("gold", ignorenulls=True).alias("gold"))
+    right = [F.avg(F.coalesce(F.col(c) == F.col("gold"), F.lit(False)).cast("double")).alias(c) for c in ("whole", "per_char")]
+    return items.agg(F.count("*").alias("n"), *right)
+
+
+def preferences(pairs: DataFrame) -> DataFrame:
+    """Accuracy and margin of (batch, chosen, rejected) log probabilities: means within batches, then over batches."""
+    won, margin = (F.col("chosen") > F.col("rejected")).cast("double"), F.col("chosen") - F.col("rejected")
+    by = pairs.groupBy("batch").agg(F.avg(won).alias("accuracy"), F.avg(margin).alias("margin"))
+    return by.agg(F.avg("accuracy").alias("accuracy"), F.avg("margin").alias("margin"))

@@ -90,3 +90,11 @@ def test_metrics(spark):
     cases = spark.createDataFrame([("x", 0.9, True), ("x", 0.8, False), ("x", 0.8, True), ("y", 0.0, False)], "kind string, confidence double, correct boolean")
     found = {r.kind: r for r in metrics.decisions(cases, "kind").collect()}
     assert found["x"].aurc == pytest.approx((0 + 0.5 / 2 + 1 / 3) / 3) and found["y"].ece == 0.0 and found[None].cases == 4
+
+
+def test_choices_and_preferences(spark):
+    rows = [(1, 0, -4.0, 8, 0), (1, 1, -3.0, 3, 0), (2, 0, -1.0, 1, 0), (2, 1, -1.0, 1, 0)]
+    r = metrics.choices(spark.createDataFrame(rows, "item int, option int, logp double, chars int, gold int")).first()
+    assert (r.n, r.whole, r.per_char) == (2, 0.5, 1.0)
+    r = metrics.preferences(spark.createDataFrame([(1, -1.0, -2.0), (1, -3.0, -2.0), (2, -1.0, -4.0)], "batch int, chosen double, rejected double")).first()
+    assert (r.accuracy, r.margin) == (0.75, 1.5)
