@@ -71,7 +71,12 @@ def mix(x: int) -> int:
 
 
 def permuted(i: int, n: int, key: int) -> int:
-    """A bijection of range(n) without memory: four Feistel rounds on an even number of bits, repeated until the value is in range."""
+    """A bijection of range(n) without memory: four Feistel rounds on an even number of bits, repeated until the value is in range.
+
+    From an i that is not in range(n) the walk need never come into it: that is an error.
+    """
+    if not 0 <= i < n:
+        raise ValueError(f"{i} is not in range({n})")
     half = (max(2, (n - 1).bit_length()) + 1) // 2
     low = (1 << half) - 1
     while True:
@@ -84,14 +89,14 @@ def permuted(i: int, n: int, key: int) -> int:
 
 
 def permutation(windows: DataFrame, column: str, n: int, key: int) -> DataFrame:
-    """windows with position, the place of each window in a shuffled pass."""
+    """windows with position, the place in range(n) of each window in a shuffled pass; a null window has none, one outside range(n) is an error."""
     ship(windows.sparkSession)
 
     @F.pandas_udf("long")
     def place(ix: pd.Series) -> pd.Series:
         return ix.map(lambda i: permuted(int(i), n, key))
 
-    return windows.withColumn("position", place(column))
+    return windows.withColumn("position", F.when(F.col(column).isNotNull(), place(F.coalesce(F.col(column).cast("long"), F.lit(0)))))
 
 
 def quotas(weights: list[float], block: int) -> list[int]:

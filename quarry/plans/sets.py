@@ -145,7 +145,8 @@ def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def permuted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("window_ix"))
-    return tokens.permutation(docs, "window_ix", 1 << 20, 7)
+    last = docs.agg(F.max("window_ix")).first()[0]
+    return tokens.permutation(docs, "window_ix", 1 if last is None else last + 1, 7)
 
 
 @query(

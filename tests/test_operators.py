@@ -52,6 +52,20 @@ def test_permutation_and_mixture():
     assert sum(f for f, _ in list(tokens.round_robin(counts))[:100]) == 10
 
 
+def test_permuted_windows(spark, tmp_path):
+    """Windows beyond 1 << 20 come to an end, and positions stay below the number that the table has."""
+    from quarry.plans import sets
+
+    ids = [*range(50), None, 1 << 20, (1 << 20) + 7, 3_000_000]
+    spark.createDataFrame([(k,) for k in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.window_ix: r.position for r in sets.permuted_windows(spark, str(tmp_path)).collect()}
+    assert found == {k: None if k is None else tokens.permuted(k, 3_000_001, 7) for k in ids}
+    assert len(set(found.values())) == len(ids)
+    for i in (-1, 1000, 1 << 20):
+        with pytest.raises(ValueError):
+            tokens.permuted(i, 1000, 7)
+
+
 def test_chat(spark):
     text = "<|im_start|>system\nBe kind<|im_end|>\n<|im_start|>user\nHi<|im_end|>\n<|im_start|>assistant\nHello\nyou<|im_end|>"
     found = one(spark, chat.parsed(F.col("text")), text)
