@@ -10,7 +10,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import byte_bpe, embeddings, language, licenses, packing, queries, secrets, simhash, toxicity, urls, vafile
+from quarry.llm import byte_bpe, embeddings, language, licenses, packing, queries, resemblance, secrets, simhash, toxicity, urls, vafile
 from quarry.llm.components import connected_components
 
 DATA = "/root/testdata/sf0.001"
@@ -248,6 +248,45 @@ def test_licenses(spark):
     assert licenses.scanned(files.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [1024, 7])
+def test_resemblance(spark, odd, block):
+    """The pipeline's rule against brute force on sets of five-word shingles, around similarity 0.8 and in large groups."""
+    pick = random.Random(8)
+    word = lambda: f"w{pick.randrange(4000)}"
+    base = [[word() for _ in range(150 if k < 2 else pick.choice((6, 40, 150)))] for k in range(12)]
+    texts = [None, "", " ", "a b", "A  b", "a b c"]
+    for k, own in enumerate(base):
+        for _ in range(40 if k < 2 else 10):
+            copy = own[: len(own) - pick.randrange(1 + len(own) // 4)]
+            for _ in range(pick.randrange(4)):
+                copy[pick.randrange(len(copy))] = word()
+            texts.append(" ".join(copy))
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for t in texts]
+    parent, exact = list(range(len(sets))), 0
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a == b or 5 * len(a & b) >= 4 * len(a | b):
+                exact += a != b
+                x, y = sorted((_root(parent, i), _root(parent, j)))
+                parent[y] = x
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    found = sorted(r.node for r in resemblance.near_duplicates(rows, block_rows=block).collect())
+    assert exact > 100 and found == sorted({_root(parent, i) for i in range(len(sets))})
+    assert resemblance.near_duplicates(rows.limit(0)).count() == 0
+
+
+def test_pipeline_near_duplicates(spark):
+    """A pair at similarity 0.82 that differs in over 4 bits of op1's fingerprints is one document to the pipeline."""
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(100)]
+    pair = [" ".join(words), " ".join(words[:82])]
+    prints = [simhash.fingerprint(t.encode()) for t in pair]
+    assert (prints[0] ^ prints[1]).bit_count() > 4
+    docs = spark.createDataFrame([(None, pair[0]), (7, pair[1]), (7, "some other text")], SCHEMA)
+    assert corpus_pipeline.without_near_duplicates(spark, docs, DATA).count() == 2
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
