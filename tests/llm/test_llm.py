@@ -287,6 +287,19 @@ def test_pipeline_near_duplicates(spark):
     assert corpus_pipeline.without_near_duplicates(spark, docs, DATA).count() == 2
 
 
+def test_pipeline_language(spark):
+    """The model decides on rows, labelled or not; without any label, texts with a letter stay."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang")
+    russian, english = "Это русский текст о погоде и о людях.", "The cat sat on the mat and went home."
+    added = spark.createDataFrame([(1001, russian, None), (1002, russian, "en"), (1003, english, None), (1004, "12 34", "en"), (1005, None, None)], docs.schema)
+    found = {r.doc_id: r.lang for r in corpus_pipeline.known_language(spark, docs.unionByName(added.where("doc_id <> 1002")), DATA).collect()}
+    assert found.keys() == {r.doc_id for r in docs.collect()} | {1003} and found[1003] == "en"
+    bare = corpus_pipeline.known_language(spark, added.withColumn("lang", F.lit(None).cast("string")), DATA).collect()
+    assert sorted((r.doc_id, r.lang) for r in bare) == [(1001, None), (1002, None), (1003, None)]
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
