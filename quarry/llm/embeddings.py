@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import math
 from collections.abc import Iterator
 from functools import reduce
@@ -19,9 +20,9 @@ from quarry.session import small_batches
 
 
 def passes_needed(vectors: int, tile_rows: int, threshold: float, recall: float = 0.97) -> int:
-    """Passes after which a pair just at the threshold has stood in neighbouring tiles with the probability `recall`.
+    """Passes after which a pair just at the threshold has stood in neighbouring tiles with the probability `recall`, if hyperplanes halve the data.
 
-    A random hyperplane divides a pair at an angle of t with the probability t/pi; in a pass a pair meets if its
+    That is the least; _Probes measure what the data need. A random hyperplane divides a pair at an angle of t with the probability t/pi; in a pass a pair meets if its
     hashes agree in as many leading bits as tell the tiles apart.
     """
     agree = 1 - math.acos(threshold) / math.pi
@@ -37,25 +38,81 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values / np.linalg.norm(values, axis=1, keepdims=True)
 
 
-def _coded(points: DataFrame, seed: int) -> DataFrame:
-    """points with code: sign hashes on random hyperplanes, concatenated to one integer, whose order is lexicographic."""
-    bits = 62
-    powers = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
+def _means(points: DataFrame) -> dict[int, np.ndarray]:
+    """The mean of the unit vectors of each width. A direction that all vectors share tells none of them apart."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            widths = batch.column("width").to_numpy()
+            for width in np.unique(widths).tolist():
+                own = np.flatnonzero(widths == width)
+                units = _matrix(batch.column("embedding").take(pa.array(own)))
+                held[width] = held.get(width, 0) + np.append(units.sum(axis=0), len(own))
+        width = pa.array(np.repeat(np.array(list(held), np.int64), [w + 1 for w in held]))
+        place = pa.array(np.concatenate([np.arange(w + 1) for w in held]) if held else np.empty(0, np.int64))
+        yield pa.RecordBatch.from_arrays([width, place, pa.array(np.concatenate(list(held.values())) if held else np.empty(0))], ["width", "place", "x"])
+
+    sums: dict[int, dict[int, float]] = {}
+    for r in points.mapInArrow(run, "width long, place long, x double").groupBy("width", "place").agg(F.sum("x").alias("x")).collect():
+        sums.setdefault(r.width, {})[r.place] = r.x
+    return {w: np.array([x[k] for k in range(w)]) / x[w] for w, x in sums.items()}
+
+
+_BITS = 62
+
+
+def _codes(units: np.ndarray, mean: np.ndarray, seed: int) -> np.ndarray:
+    """Sign hashes of the vectors less the mean on random hyperplanes, concatenated to one integer, whose order is lexicographic."""
+    planes = np.random.default_rng([seed, units.shape[1]]).standard_normal((units.shape[1], _BITS))
+    return ((units - mean) @ planes > 0) @ (1 << np.arange(_BITS - 1, -1, -1, dtype=np.int64))
+
+
+def _coded(points: DataFrame, seed: int, means: dict[int, np.ndarray]) -> DataFrame:
+    """points with code."""
+    shared = points.sparkSession.sparkContext.broadcast(means)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             code, widths = np.zeros(batch.num_rows, np.int64), batch.column("width").to_numpy()
             for width in np.unique(widths).tolist():
                 own = np.flatnonzero(widths == width)
-                planes = np.random.default_rng([seed, width]).standard_normal((width, bits))
-                code[own] = (_matrix(batch.column("embedding").take(pa.array(own))) @ planes > 0) @ powers
+                code[own] = _codes(_matrix(batch.column("embedding").take(pa.array(own))), shared.value[width], seed)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(code)], [*batch.schema.names, "code"])
 
     return points.mapInArrow(run, T.StructType([*points.schema.fields, T.StructField("code", T.LongType())]))
 
 
-def _tiles(points: DataFrame, seed: int, tile_rows: int, name: str) -> DataFrame:
-    """points in the order of their codes, with their tile's number in a column of this name."""
+class _Probes:
+    """Made pairs just at the threshold, which tell from the tiles of each pass what share of such pairs has met.
+
+    One of each pair is a row of the table, one of 512 by a hash, the other lies in a random direction from it.
+    """
+
+    def __init__(self, points: DataFrame, threshold: float, seed: int, count: int = 512):
+        pick = np.random.default_rng(seed)
+        self.pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        rows = points.orderBy(F.xxhash64("node")).limit(count).select("width", "embedding").collect()
+        for width in sorted({r.width for r in rows if r.width > 1}):
+            units = _matrix(pa.array([r.embedding for r in rows if r.width == width]))
+            away = pick.standard_normal(units.shape)
+            away -= (away * units).sum(axis=1, keepdims=True) * units
+            self.pairs[width] = units, threshold * units + math.sqrt(1 - threshold**2) * away / np.linalg.norm(away, axis=1, keepdims=True)
+        self.met = {width: np.zeros(len(a), bool) for width, (a, _) in self.pairs.items()}
+
+    def add(self, first: list[tuple[int, int]], means: dict[int, np.ndarray], seed: int) -> None:
+        """first has the width and code at which each tile begins."""
+        for width, pair in self.pairs.items():
+            tiles = [np.array([bisect.bisect_right(first, (width, c)) - 1 for c in _codes(x, means[width], seed).tolist()]) for x in pair]
+            self.met[width] |= np.abs(tiles[0] - tiles[1]) <= 1
+
+    def share(self) -> float:
+        met = np.concatenate([np.ones(0, bool), *self.met.values()])
+        return float(met.mean()) if len(met) else 1.0
+
+
+def _tiles(points: DataFrame, seed: int, tile_rows: int, name: str, means: dict[int, np.ndarray]) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """points in the order of their codes, with their tile's number in a column of this name; and the width and code at which each tile begins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, part = 0, TaskContext.get().partitionId()
@@ -65,13 +122,15 @@ def _tiles(points: DataFrame, seed: int, tile_rows: int, name: str) -> DataFrame
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part)), pa.array(tile)], [*batch.schema.names, "part", "tile"])
 
     order = ["width", "code", F.xxhash64("node")]
-    coded = _coded(points, seed).repartitionByRange(*order).sortWithinPartitions(*order).drop("code")
+    coded = _coded(points, seed, means).repartitionByRange(*order).sortWithinPartitions(*order)
     fields = [*coded.schema.fields, T.StructField("part", T.LongType()), T.StructField("tile", T.LongType())]
     cut = written(coded.mapInArrow(run, T.StructType(fields)), "tiles")
-    sizes = sorted((r.part, r.n) for r in cut.groupBy("part").agg((F.max("tile") + 1).alias("n")).collect())  # a row for each partition
-    first = np.cumsum([0] + [n for _, n in sizes]).tolist()
-    bases = cut.sparkSession.createDataFrame([(part, base) for (part, _), base in zip(sizes, first, strict=False)], "part long, base long")
-    return cut.join(bases, "part").withColumn(name, F.col("base") + F.col("tile")).drop("part", "tile", "base")
+    begins = sorted((r.part, r.tile, r.low.width, r.low.code) for r in cut.groupBy("part", "tile").agg(F.min(F.struct("width", "code")).alias("low")).collect())  # a row for each tile
+    bases: dict[int, int] = {}
+    for at, (part, *_) in enumerate(begins):
+        bases.setdefault(part, at)
+    base = cut.sparkSession.createDataFrame(list(bases.items()), "part long, base long")
+    return cut.join(base, "part").withColumn(name, F.col("base") + F.col("tile")).drop("part", "tile", "base", "code"), [(width, code) for *_, width, code in begins]
 
 
 def _spanning(linked: np.ndarray) -> list[tuple[int, int]]:
@@ -154,7 +213,9 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, tile_rows: int =
     concatenated random hashes and cut into tiles; every vector is compared with its own and the next tile and, as long as a tile
     holds a link to the last tile it was compared with, with twice as many tiles after that, so a dense group is followed to its end. Links are
     counted where they are found, not listed: a pair counts in the first pass that compared it, which both rows know from their
-    tiles. Passes are as many as passes_needed() says.
+    tiles. Codes are of the vectors less the corpus mean; cosines are those of the vectors as they are. Passes are as many as
+    passes_needed() says, and go on until the share `recall` of made pairs just at the threshold has met, as vectors that share a
+    direction need more.
 
     Equal vectors are one point with a count, and are linked without a search. Vectors that are null, empty, zero, or hold a
     null or non-finite component link with nothing, nor do vectors of different lengths. n_links counts the other rows linked
@@ -170,11 +231,13 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, tile_rows: int =
     current = points.select("node", "copies", F.size("embedding").alias("width"), "embedding")
     count = points.count()
     found: list[DataFrame] = []
-    for turn in range(passes_needed(count, tile_rows, threshold, recall) if count else 0):
-        tiled = _tiles(current, seed + turn, tile_rows, f"tile{turn}")
+    means, probes, turn = _means(current) if count else {}, _Probes(current, threshold, seed), 0
+    while count and (turn < passes_needed(count, tile_rows, threshold, recall) or probes.share() < recall):
+        tiled, first = _tiles(current, seed + turn, tile_rows, f"tile{turn}", means)
         more, reach = _pass(tiled, threshold, turn)
         found += more
-        current = tiled.join(reach, f"tile{turn}")
+        probes.add(first, means, seed + turn)
+        current, turn = tiled.join(reach, f"tile{turn}"), turn + 1
     named = points.withColumn("root", F.col("node")).withColumn("links", F.lit(0).cast("long"))
     if found:
         every = reduce(DataFrame.unionByName, found).where("u >= 0")

@@ -148,6 +148,20 @@ def test_embeddings(spark):
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_embeddings_in_a_cone(spark):
+    """Sparse pairs at 0.955 among vectors of mean cosine 0.8 need more passes than halving says."""
+    pick = np.random.default_rng(9)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    base = unit(np.sqrt(0.8) * np.eye(1, 64) + np.sqrt(0.2) * unit(pick.standard_normal((12_000, 64))))
+    away = pick.standard_normal((400, 64))
+    away = unit(away - (away * base[:400]).sum(axis=1, keepdims=True) * base[:400])
+    every = np.concatenate((base, 0.955 * base[:400] + np.sqrt(1 - 0.955**2) * away))
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(every)], "vec_id long, embedding array<double>")
+    links = sum(int((every[k : k + 1000] @ every.T >= 0.95).sum()) for k in range(0, len(every), 1000)) - len(every)
+    found = embeddings.near_duplicates(table, tile_rows=64).agg(F.sum("n_links")).first()[0]
+    assert 0.95 * links <= found <= links
+
+
 def _base(text):
     kinds = [(re.compile(secrets.BASE["assign"][0], re.A), 2, 6), (re.compile("AKIA[A-Z0-9]+"), 0, 20), (re.compile("[0-9a-f]+"), 0, 24)]
     return sorted((m.start(), k, m.end()) for k, (p, group, least) in enumerate(kinds) for m in p.finditer(text or "") if len(m[group]) >= least)
