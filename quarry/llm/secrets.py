@@ -20,7 +20,7 @@ BASE = {
 #: Weak parts, which are only reported beside their complements: 40 characters that may be a secret key, and endpoints. A key may
 #: follow anything but a base64 character (plain or of URLs), so also `=`, `:`, quotes and escapes such as %3D; its + and / may be escaped.
 WEAK = {
-    "key": (r"(?:(?<![A-Za-z0-9+/_-])|(?<=%(?!2[BbFf])[0-9A-Fa-f]{2}))(?:[A-Za-z0-9+/]|%2[BbFf]){40}(?![A-Za-z0-9+/=_-]|%2[BbFf])", 0, 40),
+    "key": (r"(?:(?<![A-Za-z0-9+/_-])|(?<=%(?!2[BbFf])[0-9A-Fa-f]{2}))(?:[A-Za-z0-9+/]{40}|(?=[A-Za-z0-9+/]{0,39}%2[BbFf])(?:[A-Za-z0-9+/]|%2[BbFf]){40})(?![A-Za-z0-9+/=_-]|%2[BbFf])", 0, 40),
     "endpoint": (r"(?:https?|s3|ftp|jdbc:[a-z0-9]+)://[A-Za-z0-9._~:/@%-]+|(?<![a-z0-9.-])[a-z0-9.-]+\.amazonaws\.com", 0, 8),
 }
 KINDS = [*BASE, *WEAK]
