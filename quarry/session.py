@@ -26,9 +26,10 @@ def ship(spark: SparkSession) -> None:
     context._quarry_shipped = True
 
 
-def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Ships the package and keeps Arrow batches of whole texts small: at most so many rows go to a Python worker at once."""
+def small_batches(spark: SparkSession, rows: int = 1000, size: int = 8 << 20) -> None:
+    """Ships the package and keeps Arrow batches of whole texts small: at most so many rows, or bytes, go to a Python worker at once."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
