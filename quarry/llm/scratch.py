@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -13,21 +14,34 @@ _OWN: list[str] = []
 
 
 def folder(spark: SparkSession) -> str:
-    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set, as in tests."""
+    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set and the master is local, as in tests."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN:
         _OWN.append("file://" + tempfile.mkdtemp(prefix="quarry-"))
     return _OWN[0]
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def sized(df: DataFrame, rows: int, rows_each: int = 20_000) -> DataFrame:
+    """df in no more partitions than rows, a bound on how many it has, give reason for: rows_each at least, or four for each core.
+
+    That only unites partitions; a table whose rows are many is left as it is.
+    """
+    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_each)))
+
+
+def written(df: DataFrame, name: str, rows: int | None = None, rows_each: int = 20_000) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: lineage ends there, and a lost executor loses nothing.
 
-    The files go when the driver's JVM exits, or earlier by drop().
+    rows, a bound on df's rows, keeps small tables from lying in very many files. The files go when the driver's JVM exits, or
+    earlier by drop().
     """
     spark = df.sparkSession
     path = f"{folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = sized(df, rows, rows_each)
     df.write.option("compression", "zstd").parquet(path)
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)

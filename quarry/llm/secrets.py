@@ -57,14 +57,14 @@ def _spans(text: Column, pattern: str, group: int, least: int) -> Column:
     return F.when(F.regexp_like(text, regex), found).otherwise(F.array().cast("array<struct<s:bigint,e:bigint>>"))
 
 
-def _linked(scanned: DataFrame, scope: int) -> DataFrame:
+def _linked(weak: DataFrame, scope: int) -> DataFrame:
     """(row, linked): the weak parts that stand within scope code points of the parts they need: access identifier and key, endpoint beside both.
 
     Parts are dealt into intervals of scope code points, each key part also into the neighbours, so that parts near each other meet in
     an equi-join on row and interval. What is joined are the first and last part of each kind in an interval, not all its parts.
     """
-    weak = scanned.where("size(access) > 0 and size(key) > 0")
-    exploded = [weak.select("row", F.lit(kind).alias("kind"), F.explode(kind).alias("x")) for kind in ("access", *WEAK)]
+    both_held = weak.where("size(access) > 0 and size(key) > 0")
+    exploded = [both_held.select("row", F.lit(kind).alias("kind"), F.explode(kind).alias("x")) for kind in ("access", *WEAK)]
     parts = reduce(DataFrame.unionByName, exploded).select("row", "kind", F.col("x.s").alias("s"), F.col("x.e").alias("e"), F.expr(f"x.s div {scope}").alias("cell"))
     access = parts.where("kind = 'access'").groupBy("row", "cell").agg(F.min("s").alias("least"), F.max("s").alias("most"))
 
@@ -82,26 +82,36 @@ def _linked(scanned: DataFrame, scope: int) -> DataFrame:
     return both.groupBy("row").agg(F.collect_list(F.struct("s", "kind", "e")).alias("linked"))
 
 
-def spans(docs: DataFrame, scope: int = 400, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, and base and spans as arrays of (s, k, e), for each row of docs: start, place of the kind in KINDS, end.
+def _label(kind: str) -> Column:
+    return F.transform(kind, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
+
+
+def scanned(docs: DataFrame, scope: int = 400) -> DataFrame:
+    """(kept, base, spans) for each row of docs: kept is the row itself as a struct, the others are arrays of (s, k, e): start, place of the kind in KINDS, end.
 
     Every whole text is scanned (null: empty); positions count code points, ends are exclusive, and arrays are sorted. base has the
     matches of BASE alone; spans also the keys within scope of an access identifier, and the endpoints within scope of such a key.
-    Arrays are of one document's matches. Repeated rows and null doc_ids give a row each; an empty table gives no rows.
+    Only rows whose text holds the start of an access identifier are written, given a number and joined; all others take one pass.
+    Arrays are of one document's matches. Repeated rows, null doc_ids and columns of any name stay as they are, a row each; an empty
+    table gives no rows.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    whole = F.col("_text")
-    weak = F.when(F.contains(whole, F.lit("AKIA")), whole).otherwise("")  # no part counts without an access identifier
-    found = docs.select(*keep, text.alias("_text")).select(
-        *keep, *[_spans(whole, *rule).alias(kind) for kind, rule in BASE.items()], *[_spans(weak, *rule).alias(kind) for kind, rule in WEAK.items()]
-    )
-    scanned = written(found.withColumn("row", F.monotonically_increasing_id()), "scanned")
-    label = lambda kind: F.transform(kind, lambda x: F.struct(x["s"].alias("s"), F.lit(KINDS.index(kind)).alias("k"), x["e"].alias("e")))
-    base = F.array_sort(F.concat(*[label(kind) for kind in BASE]))
+    may_link = F.contains(F.col("_text"), F.lit("AKIA"))  # no part counts without an access identifier
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"), text.alias("_text"))
+    base = F.array_sort(F.concat(*[_label(kind) for kind in BASE]))
+    plain = rows.where(~may_link).select("kept", *[_spans(F.col("_text"), *rule).alias(kind) for kind, rule in BASE.items()]).select("kept", base.alias("base"))
+    weak = rows.where(may_link).select("kept", *[_spans(F.col("_text"), *rule).alias(kind) for kind, rule in (BASE | WEAK).items()])
+    weak = written(weak.withColumn("row", F.monotonically_increasing_id()), "scanned")
     place = lambda kind: sum((F.when(kind == name, F.lit(k)).otherwise(F.lit(0)) for k, name in enumerate(WEAK, len(BASE))), F.lit(0))
     more = F.transform(F.coalesce("linked", F.array().cast("array<struct<s:bigint,kind:string,e:bigint>>")), lambda x: F.struct(x["s"].alias("s"), place(x["kind"]).alias("k"), x["e"].alias("e")))
-    joined = scanned.join(_linked(scanned, scope), "row", "left")
-    return joined.select(*keep, base.alias("base"), F.array_sort(F.concat(base, more)).alias("spans"))
+    joined = weak.join(_linked(weak, scope), "row", "left").select("kept", base.alias("base"), F.array_sort(F.concat(base, more)).alias("spans"))
+    return plain.select("kept", "base", F.col("base").alias("spans")).unionByName(joined)
+
+
+def spans(docs: DataFrame, scope: int = 400, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep, base and spans of scanned(); keep must not hold those two names."""
+    found = scanned(docs.select(*dict.fromkeys((*keep, "text"))), scope)
+    return found.select(*[F.col(f"kept.`{c}`") for c in keep], "base", "spans")
 
 
 def listed(column: str) -> Column:
