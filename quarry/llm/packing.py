@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,7 +14,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.bpe import Cache
 from quarry.llm.scratch import slices, written
 from quarry.session import small_batches
 
@@ -27,37 +27,71 @@ _STANDS = {b: chr(b) for b in _SHOWN} | {b: chr(256 + k) for k, b in enumerate(b
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
+class _Kept(dict):
+    """What chunks of text encode to; when it is full it becomes the older half, from which what is met again moves over."""
+
+    def __init__(self, encode, most: int, chars: int):
+        super().__init__()
+        self.older: dict[str, bytes] = {}
+        self.encode, self.most, self.chars = encode, most, chars
+
+    def __missing__(self, chunk: str) -> bytes:
+        if (found := self.older.get(chunk)) is None:
+            found = self.encode(chunk)
+        if len(chunk) <= self.chars:
+            self[chunk] = found
+        return found
+
+    def turn(self) -> None:
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+
+
 class WordBpe:
     """A word-end vocabulary of the tokenizers library. It drops white space, so texts are encoded chunk by chunk.
 
-    The library merges each piece once; texts that hold white space which only Python's str knows go through the library whole.
+    The library merges each piece once; texts that hold white space which only Python's str knows, and chunks with code points
+    that Python's Unicode tables do not assign, go through the library whole. Entries kept are bounded in number and length.
     """
 
-    def __init__(self, path: str, kept: int = 600_000):
+    def __init__(self, path: str, kept: int = 250_000, kept_chars: int = 32):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        self.width = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.pieces = Cache(self._encode_pieces, kept)
-        self.chunks = Cache(lambda new: self.pieces.encode([[c] if c.isascii() and c.isalpha() else _PIECES.findall(c) for c in new]), kept)
+        wide = self.library.get_vocab_size() > 1 << 16
+        self.width, self.code = ("<u4", "I") if wide else ("<u2", "H")
+        self.pieces = _Kept(self._piece, kept // 2, kept_chars)
+        self.chunks = _Kept(self._chunk, kept, kept_chars)
+
+    def _piece(self, piece: str) -> bytes:
+        shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_STANDS)
+        return array(self.code, [t.id for t in self.library.model.tokenize(shown)]).tobytes()
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
-        merge, width = self.library.model.tokenize, self.width
-        return [np.array([t.id for t in merge(p if p.isascii() else p.encode().decode("latin-1").translate(_STANDS))], width).tobytes() for p in pieces]
+    def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():
+            return self._piece(chunk) if chunk.isalpha() else b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
+        if any(unicodedata.category(c) == "Cn" for c in chunk):
+            return self._whole(chunk)
+        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
+
+    def _whole(self, text: str) -> bytes:
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text as the bytes of unsigned integers."""
-        odd = [k for k, t in enumerate(texts) if _ODD.search(t)]
-        out = self.chunks.encode([[] if _ODD.search(t) else self._lower(t).split() for t in texts])
-        for k in odd:
-            out[k] = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, self.width).tobytes()
+        own, out = self.chunks.__getitem__, []
+        for text in texts:
+            out.append(self._whole(text) if _ODD.search(text) else b"".join(map(own, self._lower(text).split())))
+            self.chunks.turn()
+            self.pieces.turn()
         return out
 
     @staticmethod
     def _lower(text: str) -> str:
         """NFC, then each character's own lower case: at a word's end too, a capital sigma is an inner one."""
-        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("\u03a3", "\u03c3").lower()
+        return text.lower() if text.isascii() else unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
 
 
 _READY: dict[str, WordBpe] = {}
@@ -65,23 +99,50 @@ _READY: dict[str, WordBpe] = {}
 
 def _tokenizer(path: str) -> WordBpe:
     if path not in _READY:
+        _READY.clear()
         _READY[path] = WordBpe(path)
     return _READY[path]
 
 
+#: Terms of a document that decide where it goes.
+_ROUTES = 3
+
+
+def _clocks(vocabulary: int, seed: int = 5) -> np.ndarray:
+    """For each route and term the time of an exponential clock, faster for later, rarer merges: the first clock of a document's terms is one of its terms drawn by weight."""
+    times = np.random.default_rng(seed).exponential(size=(_ROUTES, vocabulary))
+    return (times / np.log2(np.arange(vocabulary) + 2)).astype(np.float32)
+
+
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids) for each row: the ids of the whole text (null: empty), then end_id, as a binary of unsigned integers."""
+    """(doc_id, ids, route, tie) for each row: the ids of the whole text (null: empty), then end_id, as a binary of unsigned integers.
+
+    route is made of terms drawn by weight from the document, the same ones for like documents, so that documents which are
+    near in its order share terms; tie spreads documents of one route.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(path)
         end = np.array([end_id], own.width).tobytes()
+        clocks = _clocks(max(own.library.get_vocab_size(), end_id + 1))
+        part, row = TaskContext.get().partitionId(), 0
         for batch in batches:
             for first, texts in slices(batch):
-                ids = [x + end for x in own.encode(texts)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(first, len(texts)), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, ids binary")
+                found = own.encode(texts)
+                routes = []
+                for x in found:
+                    ids, route = np.frombuffer(x, own.width), 0
+                    for clock in clocks:
+                        route = route << 20 | (int(ids[clock[ids].argmin()]) + 1 if len(ids) else 0)
+                    routes.append(route)
+                tie = pa.array([hash((part, row + k)) & 0x7FFFFFFF for k in range(len(texts))], pa.int64())
+                row += len(texts)
+                columns = [batch.column("doc_id").slice(first, len(texts)), pa.array([x + end for x in found], pa.binary()), pa.array(routes, pa.int64()), tie]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "route", "tie"])
+
+    cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return cut.mapInArrow(run, "doc_id long, ids binary, route long, tie long")
 
 
 def _frequencies(tokens: DataFrame, width: str, vocabulary: int) -> tuple[np.ndarray, int, float]:
@@ -109,79 +170,87 @@ def _frequencies(tokens: DataFrame, width: str, vocabulary: int) -> tuple[np.nda
     return df, int(docs), total / max(docs, 1)
 
 
-class _Index:
-    """A BM25 inverted index of one shard, with corpus-wide document frequencies."""
+class Index:
+    """A BM25 inverted index of one shard, with corpus-wide document frequencies.
+
+    Terms that over an eighth of the shard holds are rows of a matrix, all others lists of postings.
+    """
 
-    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, query_terms: int, k1: float = 1.2, b: float = 0.75):
+    def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
         uniques = [np.unique(d, return_counts=True) for d in docs]
         sizes = [len(t) for t, _ in uniques]
         terms = np.concatenate([t for t, _ in uniques]).astype(np.int64)
         tf = np.concatenate([c for _, c in uniques]).astype(np.float32)
-        doc = np.repeat(np.arange(len(docs)), sizes)
+        doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
         length = np.array([len(d) for d in docs], np.float32)[doc]
         weight = (idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))).astype(np.float32)
         order = np.argsort(terms, kind="stable")
-        self.posting_doc, self.posting_weight = doc[order], weight[order]
+        self.doc, self.weight = doc[order], weight[order]
         self.begins = np.searchsorted(terms[order], np.arange(len(idf) + 1))
-        cuts = np.cumsum([0, *sizes])
-        self.own = [(terms[a:b], weight[a:b]) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
-        self.count, self.query_terms = len(docs), query_terms
-
-    def neighbours(self, k: int) -> np.ndarray:
-        """All documents of the shard that share one of the document's heaviest terms, best first; ties in input order."""
-        terms, weight = self.own[k]
-        if len(terms) > self.query_terms:
-            terms = terms[np.argsort(-weight, kind="stable")[: self.query_terms]]
-        spans = [slice(self.begins[t], self.begins[t + 1]) for t in terms.tolist()]
-        score = np.bincount(np.concatenate([self.posting_doc[s] for s in spans]), np.concatenate([self.posting_weight[s] for s in spans]), self.count)
-        found = np.flatnonzero(score > 0)
+        common = np.flatnonzero(np.diff(self.begins) > len(docs) / 8)
+        self.row = np.full(len(idf), -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), len(docs)), np.float32)
+        for row, t in enumerate(common.tolist()):
+            span = slice(self.begins[t], self.begins[t + 1])
+            self.matrix[row, self.doc[span]] = self.weight[span]
+        self.own, self.count = [t.astype(np.int64) for t, _ in uniques], len(docs)
+
+    def scores(self, k: int) -> np.ndarray:
+        """The BM25 score of every document of the shard for all distinct terms of document k."""
+        rows = self.row[self.own[k]]
+        score = self.matrix[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        spans = [slice(self.begins[t], self.begins[t + 1]) for t in self.own[k][rows < 0].tolist()]
+        if spans:
+            score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.count)
+        return score
+
+    def neighbours(self, k: int, unused: np.ndarray) -> np.ndarray:
+        """The unused documents that share a term with document k, best first; ties in input order."""
+        score = self.scores(k)
+        found = np.flatnonzero(unused & (score > 0))
         return found[np.argsort(-score[found], kind="stable")]
 
 
-def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, capacity: int, query_terms: int) -> Iterator[tuple[int, int, int, int, int]]:
+def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, capacity: int) -> Iterator[tuple[int, int, int, int, int]]:
     """(document, start, length, sequence, offset) of all pieces of a shard.
 
     The first unused document seeds a window and its unused neighbours fill it, best first; when they are used up, the next unused
     document seeds what is left. A document that does not fit is cut, and its rest seeds the next window. The last window
     is cut into powers of two, which need no padding.
     """
-    index = _Index(docs, idf, mean, query_terms)
+    index = Index(docs, idf, mean)
     unused = np.ones(len(docs), bool)
-    at, sequence, used, first, carried = 0, 0, 0, 0, None
-    ranked: Iterator[int] = iter(())
+    sequence, used, lowest, first = 0, 0, 0, 0
+    seed: int | None = None
+    rest: int | None = None
+    near: Iterator[int] | None = None
     window: list[tuple[int, int, int]] = []
     while True:
-        if carried is None:
-            k = next((int(x) for x in ranked if unused[x]), None)
+        if rest is not None:
+            k, seed, near = rest, rest, None
+        else:
+            first, k = 0, None
+            if seed is not None:
+                near = iter(index.neighbours(seed, unused).tolist()) if near is None else near
+                k = next((x for x in near if unused[x]), None)
             if k is None:
-                while at < len(docs) and not unused[at]:
-                    at += 1
-                if at == len(docs):
+                while lowest < len(docs) and not unused[lowest]:
+                    lowest += 1
+                if lowest == len(docs):
                     break
-                k = at
-            unused[k], first = False, 0
-        else:
-            k, first = carried
-        if carried is not None or not window:
-            ranked = iter(index.neighbours(k))
-        elif (following := next(ranked, None)) is None:
-            ranked = iter(index.neighbours(k))
-        else:
-            ranked = _chain(following, ranked)
-        carried = None
+                k, seed, near = lowest, lowest, None
+            unused[k] = False
         length = min(len(docs[k]) - first, capacity - used)
         window.append((k, first, length))
-        used += length
-        if first + length < len(docs[k]):
-            carried = (k, first + length)
+        used, first = used + length, first + length
+        rest = k if first < len(docs[k]) else None
         if used == capacity:
             offset = 0
             for doc, start, n in window:
                 yield doc, start, n, sequence, offset
                 offset += n
-            window, used, sequence = [], 0, sequence + 1
-            if carried is None:
-                ranked = iter(())
+            window, used, sequence, seed = [], 0, sequence + 1, None
     room, offset = 0, 0
     for doc, start, n in window:
         while n:
@@ -192,19 +261,16 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, capacity: i
             start, n, room, offset, used = start + cut, n - cut, room - cut, offset + cut, used - cut
 
 
-def _chain(first: int, rest: Iterator[int]) -> Iterator[int]:
-    yield first
-    yield from rest
-
-
-def packed(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, shard_docs: int = 2048, shard_tokens: int = 4_000_000, query_terms: int = 64) -> DataFrame:
+def packed(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, shard_docs: int = 2048, shard_tokens: int = 4_000_000, most_parts: int = 100_000) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset), a row for each piece of each row of docs (doc_id, text).
 
     Ids are those of the tokenizers file at path, then end_id; a null text counts as an empty one and has that id alone. Every
     id lies in one piece, and every sequence has a power of two of them, capacity at most, so nothing is padded; ids in the result are
-    little-endian unsigned 32-bit integers. Term statistics cover all documents; a shard is shard_docs documents, or as many as
-    reach shard_tokens, that lie together in the tokenized table, so packing itself moves nothing. Repeated rows are packed
-    each; a null doc_id keeps its pieces; an empty table gives no rows. capacity must be a power of two.
+    little-endian unsigned 32-bit integers. Documents are routed to shards by terms drawn from them by weight, not by where they
+    lie in the files: they are put in the order of those terms, and each shard_docs documents, or as many as reach shard_tokens, in that order are a
+    shard, whose index is asked with all terms of a seed; term statistics cover all documents. What a seed's shard does not hold
+    is not its neighbour. Repeated rows are packed each; a null doc_id keeps its pieces; a text of any length is cut over as
+    many windows as it needs; an empty table gives no rows. capacity must be a power of two.
     """
     from tokenizers import Tokenizer
 
@@ -232,7 +298,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, sh
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sequence = TaskContext.get().partitionId() << 40
         for names, held in shards(batches):
-            rows = list(pack_shard(held, shared.value, mean, capacity, query_terms))
+            rows = list(pack_shard(held, shared.value, mean, capacity))
             for at in range(0, len(rows), 4000):
                 doc, start, length, own, offset = zip(*rows[at : at + 4000], strict=True)
                 ids = [held[k][a : a + n].astype("<u4").tobytes() for k, a, n in zip(doc, start, length, strict=True)]
@@ -241,4 +307,6 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, sh
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"])
             sequence += rows[-1][3] + 1
 
-    return tokens.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    parts = max(1, min(most_parts, max(int(count * mean) // shard_tokens, count // shard_docs)))
+    routed = tokens.repartitionByRange(parts, "route", "tie").sortWithinPartitions("route", "tie").select("doc_id", "ids")
+    return routed.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
