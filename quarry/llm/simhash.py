@@ -109,13 +109,14 @@ def _links(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Record
     yield out(held)
 
 
-def fingerprint_links(points: DataFrame, radius: int = 4, bucket_rows: int = 4096) -> DataFrame:
+def fingerprint_links(points: DataFrame, radius: int = 4, bucket_rows: int = 4096, rows: int | None = None) -> DataFrame:
     """Edges (u, v) that connect all distinct fingerprints fp of points which differ in at most radius bits.
 
     Each level puts every fingerprint into the buckets of all covering masks. Buckets are first only counted, with their
     least and greatest member, so that a pair needs no second look and a large bucket is never gathered. Buckets of up to
     bucket_rows go to one worker each, which returns a spanning forest of the links. Larger ones are divided by a
     further set of covering masks over the bits still free; as these halve at each level and fingerprints are distinct, that ends.
+    rows, about how many points there are, only decides over how many files small tables are spread.
     """
     level, keyed, edges = 0, points.select(F.lit(0).cast("long").alias("path"), F.lit(0).cast("long").alias("mask"), "fp"), None
     while True:
@@ -125,12 +126,12 @@ def fingerprint_links(points: DataFrame, radius: int = 4, bucket_rows: int = 409
             (F.col("path") * len(masks) + F.col("x.t")).alias("path"), F.col("mask").bitwiseOR(F.col("x.m")).alias("mask"), "fp"
         ).withColumn("key", F.col("mask").bitwiseAND(F.col("fp")))
         counted = spread.groupBy("path", "key").agg(F.count("*").alias("n"), F.min("fp").alias("least"), F.max("fp").alias("most"))
-        counted = written(counted.where("n > 1"), "buckets")
+        counted = written(counted.where("n > 1"), "buckets", rows)
         twos = counted.where("n = 2").where(_differing(F.col("least"), F.col("most")) <= radius).select(F.col("least").alias("u"), F.col("most").alias("v"))
         members = spread.join(counted.where(F.col("n").between(3, bucket_rows)).select("path", "key"), ["path", "key"]).select("path", "key", "fp")
         grouped = members.repartition("path", "key").sortWithinPartitions("path", "key")
         found = twos.unionByName(grouped.mapInArrow(lambda batches: _links(batches, radius), "u long, v long")).distinct()
-        found = written(found, "links")
+        found = written(found, "links", rows)
         edges = found if edges is None else edges.unionByName(found)
         hot = counted.where(F.col("n") > bucket_rows).select("path", "key")
         if hot.isEmpty():
@@ -147,10 +148,12 @@ def near_duplicates(docs: DataFrame, radius: int = 4, words_each: int = 4, bucke
     the smallest doc_id that links reach. Equal texts, repeated rows included, share a fingerprint and are handled as one; a null
     doc_id keeps its row and is the smallest only where its component has no other. An empty table gives no rows.
     """
-    marked = written(fingerprints(docs, words_each), "fingerprints")
-    points = written(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "points")
-    labels = connected_components(fingerprint_links(points, radius, bucket_rows)).withColumnRenamed("node", "fp")
-    rooted = written(points.join(labels, "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("root")), "rooted")
+    marked = fingerprints(docs, words_each)
+    count = docs.count()
+    marked = written(marked, "fingerprints", count)
+    points = written(marked.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "points", count)
+    labels = connected_components(fingerprint_links(points, radius, bucket_rows, count), count).withColumnRenamed("node", "fp")
+    rooted = written(points.join(labels, "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("root")), "rooted", count)
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = rooted.join(least, "root").select("fp", "component_id")
     drop(points)
