@@ -52,29 +52,34 @@ class WordBpe:
     """A word-end vocabulary of the tokenizers library. It drops white space, so texts are encoded chunk by chunk.
 
     The library merges each piece once; texts that hold white space which only Python's str knows, and chunks with code points
-    that Python's Unicode tables do not assign, go through the library whole. Entries kept are bounded in number and length.
+    that Python's Unicode tables do not print, as unassigned ones, go through the library whole. Entries kept are bounded in number and length.
     """
 
-    def __init__(self, path: str, kept: int = 250_000, kept_chars: int = 32):
+    def __init__(self, path: str, kept: int = 300_000, kept_chars: int = 32):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
-        wide = self.library.get_vocab_size() > 1 << 16
-        self.width, self.code = ("<u4", "I") if wide else ("<u2", "H")
-        self.pieces = _Kept(self._piece, kept // 2, kept_chars)
+        self.merge = self.library.model.tokenize
+        self.vocabulary = self.library.get_vocab_size()
+        self.width, self.code = ("<u4", "I") if self.vocabulary > 1 << 16 else ("<u2", "H")
         self.chunks = _Kept(self._chunk, kept, kept_chars)
 
     def _piece(self, piece: str) -> bytes:
         shown = piece if piece.isascii() and piece.isprintable() else piece.encode().decode("latin-1").translate(_STANDS)
-        return array(self.code, [t.id for t in self.library.model.tokenize(shown)]).tobytes()
+        return array(self.code, [t.id for t in self.merge(shown)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            return self._piece(chunk) if chunk.isalpha() else b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
-        if any(unicodedata.category(c) == "Cn" for c in chunk):
+        """Of one piece, the library's merges; of several, what they encode to."""
+        if not chunk.isascii() and not chunk.isprintable():
             return self._whole(chunk)
-        return b"".join(map(self.pieces.__getitem__, _PIECES.findall(chunk)))
+        if chunk.isalpha():
+            return self._piece(chunk)
+        own = self.chunks.__getitem__
+        if chunk[-1] in ".," and chunk[:-1].isalpha():
+            return own(chunk[:-1]) + own(chunk[-1]) if len(chunk) > 1 else self._piece(chunk)
+        pieces = _PIECES.findall(chunk)
+        return b"".join(map(own, pieces)) if len(pieces) > 1 else self._piece(chunk)
 
     def _whole(self, text: str) -> bytes:
         return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
@@ -85,7 +90,6 @@ class WordBpe:
         for text in texts:
             out.append(self._whole(text) if _ODD.search(text) else b"".join(map(own, self._lower(text).split())))
             self.chunks.turn()
-            self.pieces.turn()
         return out
 
     @staticmethod
@@ -108,14 +112,35 @@ def _tokenizer(path: str) -> WordBpe:
 _ROUTES = 3
 
 
-def _clocks(vocabulary: int, seed: int = 5) -> np.ndarray:
-    """For each route and term the time of an exponential clock, faster for later, rarer merges: the first clock of a document's terms is one of its terms drawn by weight."""
-    times = np.random.default_rng(seed).exponential(size=(_ROUTES, vocabulary))
-    return (times / np.log2(np.arange(vocabulary) + 2)).astype(np.float32)
+def _clocks(vocabulary: int, seed: int = 5) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each route the terms in the order in which exponential clocks go off, faster for later, rarer merges, and each term's rank in it.
+
+    The first of a document's terms is one of them drawn by weight, the same one for like documents.
+    """
+    times = np.random.default_rng(seed).exponential(size=(_ROUTES, vocabulary)) / np.log2(np.arange(vocabulary) + 2)
+    orders = [np.argsort(t) for t in times]
+    return [(order, np.argsort(order).astype(np.int32)) for order in orders]
+
+
+def _terms(docs: list[np.ndarray], vocabulary: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct terms of each document: (document, term, count), in that order, and where each document's begin."""
+    sizes = np.array([len(d) for d in docs], np.int64)
+    kind = np.uint32 if len(docs) * vocabulary < 1 << 32 else np.uint64
+    keys = np.repeat(np.arange(len(docs), dtype=kind) * kind(vocabulary), sizes)
+    keys += np.concatenate(docs).astype(kind) if docs else keys
+    keys.sort()
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+    count = np.diff(np.append(first, len(keys)))
+    doc, term = np.divmod(keys[first], kind(vocabulary))
+    return doc.astype(np.int64), term.astype(np.int64), count, np.searchsorted(doc, np.arange(len(docs) + 1))
+
+
+#: A row for each document, and at the end of a task one with the document frequencies it has seen, the number of documents and of ids.
+_TOKENS = "kind int, doc_id long, ids binary, route long, tie long"
 
 
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """(doc_id, ids, route, tie) for each row: the ids of the whole text (null: empty), then end_id, as a binary of unsigned integers.
+    """_TOKENS. kind 0, for each row of docs: the ids of the whole text (null: empty), then end_id, as a binary of unsigned integers.
 
     route is made of terms drawn by weight from the document, the same ones for like documents, so that documents which are
     near in its order share terms; tie spreads documents of one route.
@@ -124,50 +149,46 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = _tokenizer(path)
-        end = np.array([end_id], own.width).tobytes()
-        clocks = _clocks(max(own.library.get_vocab_size(), end_id + 1))
-        part, row = TaskContext.get().partitionId(), 0
+        vocabulary = max(own.vocabulary, end_id + 1)
+        clocks = _clocks(vocabulary)
+        part, row, total, df = TaskContext.get().partitionId(), 0, 0, np.zeros(vocabulary, np.int64)
         for batch in batches:
             for first, texts in slices(batch):
-                found = own.encode(texts)
-                routes = []
-                for x in found:
-                    ids, route = np.frombuffer(x, own.width), 0
-                    for clock in clocks:
-                        route = route << 20 | (int(ids[clock[ids].argmin()]) + 1 if len(ids) else 0)
-                    routes.append(route)
-                tie = pa.array([hash((part, row + k)) & 0x7FFFFFFF for k in range(len(texts))], pa.int64())
-                row += len(texts)
-                columns = [batch.column("doc_id").slice(first, len(texts)), pa.array([x + end for x in found], pa.binary()), pa.array(routes, pa.int64()), tie]
-                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "route", "tie"])
+                found = [x + array(own.code, [end_id]).tobytes() for x in own.encode(texts)]
+                ids, n = [np.frombuffer(x, own.width) for x in found], len(texts)
+                _, term, _, begins = _terms(ids, vocabulary)
+                df += np.bincount(term, minlength=vocabulary)
+                total += sum(map(len, ids))
+                routes = np.zeros(n, np.int64)
+                for order, rank in clocks:
+                    routes = routes << 20 | order[np.minimum.reduceat(rank[term], begins[:-1])]
+                tie = pa.array([hash((part, row + k)) & 0x7FFFFFFF for k in range(n)], pa.int64())
+                row += n
+                columns = [pa.array(np.zeros(n, np.int32)), batch.column("doc_id").slice(first, n), pa.array(found, pa.binary()), pa.array(routes), tie]
+                yield pa.RecordBatch.from_arrays(columns, [c.split()[0] for c in _TOKENS.split(", ")])
+        sums = np.append(df, [row, total]).astype("<i8").tobytes()
+        none = pa.nulls(1, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array([1], pa.int32()), none, pa.array([sums], pa.binary()), none, none], [c.split()[0] for c in _TOKENS.split(", ")])
 
     cut = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(run, "doc_id long, ids binary, route long, tie long")
+    return cut.mapInArrow(run, _TOKENS)
 
 
-def _frequencies(tokens: DataFrame, width: str, vocabulary: int) -> tuple[np.ndarray, int, float]:
-    """Over all documents: how many hold each term, how many there are, and their mean length. Bounded by the vocabulary."""
+def _frequencies(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, float]:
+    """Over all documents: how many hold each term, how many there are, and their mean length. What comes to the driver is bounded by the vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        df, docs, total = np.zeros(vocabulary, np.int64), 0, 0
+        sums = np.zeros(vocabulary + 2, np.int64)
         for batch in batches:
             for x in batch.column("ids"):
-                ids = np.frombuffer(x.as_py(), width)
-                df[np.unique(ids)] += 1
-                docs, total = docs + 1, total + len(ids)
-        terms = np.flatnonzero(df)
-        term = np.concatenate((terms, [-1, -2])).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(term), pa.array(np.concatenate((df[terms], [docs, total])).astype(np.int64))], ["term", "n"])
-
-    df, docs, total = np.zeros(vocabulary, np.int64), 0, 0
-    for term, n in tokens.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).toPandas().itertuples(index=False):
-        if term == -1:
-            docs = n
-        elif term == -2:
-            total = n
-        else:
-            df[term] = n
-    return df, int(docs), total / max(docs, 1)
+                sums += np.frombuffer(x.as_py(), "<i8")
+        has = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(sums[has])], ["term", "n"])
+
+    sums = np.zeros(vocabulary + 2, np.int64)
+    for term, n in tokens.where("kind = 1").select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).toPandas().itertuples(index=False):
+        sums[term] = n
+    return sums[:-2], int(sums[-2]), sums[-1] / max(sums[-2], 1)
 
 
 class Index:
@@ -177,16 +198,12 @@ class Index:
     """
 
     def __init__(self, docs: list[np.ndarray], idf: np.ndarray, mean: float, k1: float = 1.2, b: float = 0.75):
-        uniques = [np.unique(d, return_counts=True) for d in docs]
-        sizes = [len(t) for t, _ in uniques]
-        terms = np.concatenate([t for t, _ in uniques]).astype(np.int64)
-        tf = np.concatenate([c for _, c in uniques]).astype(np.float32)
-        doc = np.repeat(np.arange(len(docs), dtype=np.int32), sizes)
-        length = np.array([len(d) for d in docs], np.float32)[doc]
-        weight = (idf[terms] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))).astype(np.float32)
-        order = np.argsort(terms, kind="stable")
+        doc, term, count, cuts = _terms(docs, len(idf))
+        tf, length = count.astype(np.float32), np.array([len(d) for d in docs], np.float32)[doc]
+        weight = (idf[term] * tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / mean))).astype(np.float32)
+        order = np.argsort(term, kind="stable")
         self.doc, self.weight = doc[order], weight[order]
-        self.begins = np.searchsorted(terms[order], np.arange(len(idf) + 1))
+        self.begins = np.searchsorted(term[order], np.arange(len(idf) + 1))
         common = np.flatnonzero(np.diff(self.begins) > len(docs) / 8)
         self.row = np.full(len(idf), -1)
         self.row[common] = np.arange(len(common))
@@ -194,12 +211,14 @@ class Index:
         for row, t in enumerate(common.tolist()):
             span = slice(self.begins[t], self.begins[t + 1])
             self.matrix[row, self.doc[span]] = self.weight[span]
-        self.own, self.count = [t.astype(np.int64) for t, _ in uniques], len(docs)
+        self.own, self.count = [term[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)], len(docs)
 
     def scores(self, k: int) -> np.ndarray:
         """The BM25 score of every document of the shard for all distinct terms of document k."""
         rows = self.row[self.own[k]]
-        score = self.matrix[rows[rows >= 0]].sum(axis=0, dtype=np.float64)
+        asked = np.zeros(len(self.matrix), np.float32)
+        asked[rows[rows >= 0]] = 1
+        score = (asked @ self.matrix).astype(np.float64)
         spans = [slice(self.begins[t], self.begins[t + 1]) for t in self.own[k][rows < 0].tolist()]
         if spans:
             score += np.bincount(np.concatenate([self.doc[s] for s in spans]), np.concatenate([self.weight[s] for s in spans]), self.count)
@@ -279,7 +298,7 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, sh
     vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     tokens = written(tokenized(docs, path, end_id), "tokens")
-    df, count, mean = _frequencies(tokens, width, vocabulary)
+    df, count, mean = _frequencies(tokens, vocabulary)
     shared = docs.sparkSession.sparkContext.broadcast((np.log(1 + (count - df + 0.5) / (df + 0.5))).astype(np.float32))
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -308,5 +327,5 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, sh
             sequence += rows[-1][3] + 1
 
     parts = max(1, min(most_parts, max(int(count * mean) // shard_tokens, count // shard_docs)))
-    routed = tokens.repartitionByRange(parts, "route", "tie").sortWithinPartitions("route", "tie").select("doc_id", "ids")
+    routed = tokens.where("kind = 0").repartitionByRange(parts, "route", "tie").sortWithinPartitions("route", "tie").select("doc_id", "ids")
     return routed.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
