@@ -14,10 +14,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash fingerprints of documents that link at 4 or fewer bits; see simhash.near_duplicates() for nulls, ties, repeats and empty tables."""
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of at most 4096 ids; see packing.packed() for nulls, ties, repeats and empty tables."""
     return packed_documents(_table(spark, sf_dir, "documents"))
 
 
@@ -28,6 +30,7 @@ def packed_documents(docs: DataFrame) -> DataFrame:
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and their decoding, as digests; see byte_bpe.encoded() for nulls, repeats and empty tables."""
     path, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
     rows = byte_bpe.decoded(byte_bpe.encoded(_table(spark, sf_dir, "documents"), path, pattern), path, pattern)
     n_tokens = (F.octet_length("ids") / 4).cast("long")
@@ -35,6 +38,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of all embeddings at cosine 0.95 or more; see embeddings.near_duplicates() for nulls, ties, repeats and empty tables."""
     return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
@@ -43,6 +47,7 @@ def _remainder(n: int) -> Column:
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document by a model of those not held out; a null doc_id is not held out and not learned from. See language.judged()."""
     docs = _table(spark, sf_dir, "documents")
     model = language.fit(docs, F.coalesce(_remainder(5) != 0, F.lit(False)))
     held_out = F.coalesce(_remainder(5) == 0, F.lit(False)).alias("held_out")
@@ -50,6 +55,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document by a model of those not held out; a null doc_id is not held out. See toxicity.judged()."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels, F.coalesce(_remainder(3) != 1, F.lit(False)))
     held_out = F.coalesce(_remainder(3) == 1, F.lit(False)).alias("held_out")
@@ -57,6 +63,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document; see secrets.scanned() for nulls, repeats and empty tables."""
     found = secrets.spans(_table(spark, sf_dir, "documents"))
     counts = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{kind}") for k, kind in enumerate(secrets.BASE)]
     return found.select("doc_id", *counts, F.sha2(secrets.listed("base").cast("binary"), 256).alias("base_sha256"), secrets.listed("spans").alias("spans"))
@@ -73,20 +80,24 @@ URL_RULES = (
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(URL_RULES, "host string, path string, action string")
+    """The verdict on every page by URL_RULES; see urls.judged() for nulls, ties, repeats and empty tables."""
+    rules = spark.range(1).select(F.inline(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(("host", "path", "action"), rule, strict=True)]) for rule in URL_RULES])))
     return urls.judged(_table(spark, sf_dir, "pages"), rules)
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best rows for each 50th vector; see vafile.top_k() for nulls, ties, repeats and empty tables."""
     return vafile.top_k(_table(spark, sf_dir, "embeddings"))
 
 
 def op10_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, with `source/doc_id` as its path: a source is a directory, so one licence file in it licenses what else it holds (basis `inherited`). See licenses.scanned()."""
     docs = _table(spark, sf_dir, "documents")
     return licenses.scanned(docs.withColumn("path", F.concat_ws("/", "source", F.col("doc_id").cast("string"))))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents, as packed pieces."""
     import corpus_pipeline  # it imports this module
 
     return corpus_pipeline.run(spark, sf_dir)
@@ -113,13 +124,13 @@ from parts left join best on parts.host = best.host and parts.path = best.path
 
 _OP9_SQL = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+  select row_number() over () as n, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
 ), scored as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0
+  select q.n as q, q.vec_id as query_id, c.n as c, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.n <> c.n where q.vec_id % 50 = 0
 ), ranked as (
-  select query_id, row_number() over (partition by query_id order by score desc, vec_id) as rank, vec_id, score from scored
+  select query_id, row_number() over (partition by q order by score desc, vec_id nulls last, c) as rank, vec_id, score from scored
 )
 select query_id, rank::integer as rank, vec_id, score from ranked where rank <= 5
 """
