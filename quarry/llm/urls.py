@@ -61,5 +61,7 @@ def judged(pages: DataFrame, rules: DataFrame, default: str = "allow", prefix_di
     spread = spread.withColumn("full", _digest(F.concat_ws("\t", "e", F.col("s").cast("string")))).withColumn("short", F.substring("full", 1, prefix_digits))
     met = spread.join(known, "short").where("full = digest")
     rank = F.struct(F.length("rule").alias("a"), F.col("host_length").alias("b"))
-    best = written(met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), rank).alias("best")), "rules")
-    return cut.join(best, ["host", "path"], "left").select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    best = written(met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "action"), rank).alias("best")), "rules").withColumn("salt", F.lit(0).cast("long"))
+    salt = F.when(F.col("host") == "", F.pmod(F.xxhash64("page_id"), F.lit(1 << 20)) + 1).otherwise(0)  # what no rule fits has no need to meet in one task
+    joined = cut.withColumn("salt", salt).join(best, ["host", "path", "salt"], "left")
+    return joined.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
