@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarry.llm.linear import bounded_sample, grams, sigmoid, slots, support_vectors
-from quarry.llm.scratch import slices
+from quarry.llm.rows import kept_fields, with_results
 from quarry.session import small_batches
 
 #: Families of closely related languages by their codes: fixed values. A code that is not listed is a family of its own.
@@ -24,7 +24,7 @@ FAMILIES = {
 UNDETERMINED = "und"
 BITS = 13
 SIZES = range(1, 4)
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def features(text: str) -> np.ndarray:
@@ -72,15 +72,16 @@ class Model:
         return winner, part * (won[winner] / (len(group) - 1) if len(group) > 1 else 1.0)
 
 
-def fit(docs: DataFrame, training: Column, per_language: int = 300, families: dict[str, tuple[str, ...]] | None = None) -> Model:
-    """A model from the text and lang of rows where training holds and lang is not null, about per_language of each language.
+def fit(docs: DataFrame, training: Column, per_language: int = 300, families: dict[str, tuple[str, ...]] | None = None, languages: int = 1000) -> Model:
+    """A model from the text and lang of rows where training holds and lang is not null, about per_language distinct texts of each language.
 
-    The sample is chosen by a hash of doc_id and text; only its features, of a fixed size, come to the driver. Without any rows
-    the model knows no language and predicts none.
+    The sample is chosen by a hash of the text, and equal texts of one language count once, so that no key or group of copies can
+    fill it; more than `languages` languages are an error. Only features of the sample, of a fixed size, come to the driver. Without any
+    rows the model knows no language and predicts none.
     """
     small_batches(docs.sparkSession)
-    rows = docs.where(training & F.col("lang").isNotNull()).select("lang", "text", F.col("doc_id").alias("key"))
-    sample = bounded_sample(rows, "lang", F.col("key"), per_language)
+    rows = docs.where(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    sample = bounded_sample(rows, "lang", F.col("text"), per_language, languages).distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,24 +89,27 @@ def fit(docs: DataFrame, training: Column, per_language: int = 300, families: di
                 if (t := text.as_py()) and _LETTER.search(t):
                     yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([features(t).astype(np.float16).tobytes()], pa.binary())], ["lang", "x"])
 
-    found = sorted((r.lang, bytes(r.x)) for r in sample.select("lang", "text").mapInArrow(run, "lang string, x binary").collect())
+    found = sorted((r.lang, bytes(r.x)) for r in sample.mapInArrow(run, "lang string, x binary").collect())
     x = np.frombuffer(b"".join(b for _, b in found), np.float16).astype(np.float32).reshape(-1, 1 << BITS)
     return Model(x, [lang for lang, _ in found], FAMILIES if families is None else families)
 
 
-def predicted(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep, lang_pred and score, for each row of docs; whole texts are read, and nothing but the text counts.
+def judged(docs: DataFrame, model: Model) -> DataFrame:
+    """(kept, lang_pred, score) for each row of docs: kept is the row itself as a struct; whole texts are read, and nothing but the text counts.
 
-    A text that is null or has no letter gets `und` and the score 0. Repeated rows and null doc_ids give a row each.
+    A text that is null or has no letter gets `und` and the score 0. Repeated rows, null doc_ids and columns of any name stay as
+    they are, a row each; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.predict(t) for _, texts in slices(batch) for t in texts]
-            columns = [batch.column(c) for c in keep] + [pa.array([a for a, _ in found], pa.string()), pa.array([min(1.0, max(0.0, s)) for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+    def run(texts: list[str]) -> list[pa.Array]:
+        found = [shared.value.predict(t) for t in texts]
+        return [pa.array([a for a, _ in found], pa.string()), pa.array([min(1.0, max(0.0, s)) for _, s in found], pa.float64())]
 
-    cut = docs.select(*[c for c in keep if c != "text"], F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(run, ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in keep) + ", lang_pred string, score double")
+    return with_results(docs, run, "lang_pred string, score double")
+
+
+def predicted(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep, lang_pred and score of judged(); keep must not hold those two names."""
+    return kept_fields(judged(docs.select(*dict.fromkeys((*keep, "text"))), model), keep, "lang_pred", "score")

@@ -32,9 +32,12 @@ def slots(codes: np.ndarray, bits: int) -> np.ndarray:
 def bounded_sample(rows: DataFrame, label: str, key: Column, per_class: int, classes: int = 1000, seed: int = 11) -> DataFrame:
     """Rows of each label chosen by a hash of their key, so that about per_class of each remain: all, if there are no more.
 
-    At most so many classes, the most frequent ones, are taken. The size is bounded by their product, up to the chance in the hash.
+    Rows of one key go or stay together, so the caller unites those that are equal. More than `classes` labels are an error, so
+    that the size is bounded by their product, up to the chance in the hash.
     """
-    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(classes).collect()
+    counts = rows.where(F.col(label).isNotNull()).groupBy(label).count().limit(classes + 1).collect()
+    if len(counts) > classes:
+        raise ValueError(f"more than {classes} labels")
     if not counts:
         return rows.limit(0)
     rate = F.create_map(*[F.lit(x) for r in counts for x in (r[0], min(1.0, per_class / r[1]))])

@@ -9,104 +9,115 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.linear import bounded_sample, grams, sigmoid, slots, support_vectors
+from quarry.llm.linear import bounded_sample, grams, sigmoid, slots
+from quarry.llm.rows import kept_fields, with_results
 from quarry.llm.scratch import slices
 from quarry.session import small_batches
 
 SIZES = range(3, 7)
 BITS = 20
+_MARK = np.zeros(1 << BITS, bool)
 
 
-class Model:
-    """Chosen n-grams in ascending order of their codes, with the weight of each one's presence, and the bias."""
-
-    def __init__(self, codes: np.ndarray, weights: np.ndarray, bias: float, slope: float = 4.0):
-        self.codes, self.weights, self.bias, self.slope = codes, weights, bias, slope
-        self.filter = np.zeros(1 << BITS, bool)
-        self.filter[slots(codes, BITS)] = True
-
-    def present(self, text: str | None) -> np.ndarray:
-        """Which of the chosen n-grams the whole text holds."""
-        codes = grams(text or "", SIZES)
-        codes = np.unique(codes[self.filter[slots(codes, BITS)]])
-        if not len(codes) or not len(self.codes):
-            return np.empty(0, np.int64)
-        at = np.minimum(np.searchsorted(self.codes, codes), len(self.codes) - 1)
-        return at[self.codes[at] == codes]
+def present(text: str | None) -> np.ndarray:
+    """The places of the n-grams that the whole text holds, in ascending order."""
+    at = slots(grams(text or "", SIZES), BITS)
+    _MARK[at] = True
+    found = np.flatnonzero(_MARK)
+    _MARK[found] = False
+    return found
 
-    def score(self, text: str | None) -> float:
-        return float(sigmoid(np.float64(self.slope * (self.weights[self.present(text)].sum() + self.bias))))
 
+class Model:
+    """The value of each n-gram's presence, which is scaled to vectors of length one, and the weight of each value."""
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = 2000, terms: int = 4096, least_z: float = 3.0, smooth: float = 1.0) -> Model:
+    def __init__(self, values: np.ndarray, weights: np.ndarray, bias: float, slope: float = 4.0, shift: float = 0.45):
+        self.values, self.products = values.astype(np.float32), (values * weights).astype(np.float32)
+        self.bias, self.slope, self.shift = bias, slope, shift
+
+    def score(self, text: str | None) -> float:
+        at = present(text)
+        own = self.values[at]
+        length = float(np.sqrt(own @ own))
+        margin = (float(self.products[at].sum(dtype=np.float64)) / length if length else 0.0) + self.bias
+        return float(sigmoid(np.float64(self.slope * margin + self.shift)))
+
+
+def _machine(sets: list[np.ndarray], labels: np.ndarray, values: np.ndarray, cost: float, epochs: int) -> tuple[np.ndarray, float]:
+    """Weights and bias of a machine with squared hinge loss, by dual coordinate descent on the sparse rows."""
+    scaled = []
+    for at in sets:
+        own = values[at]
+        length = float(np.sqrt(own @ own))
+        scaled.append((own / length if length else own).astype(np.float32))
+    weights, bias, alpha = np.zeros(len(values), np.float32), 0.0, np.zeros(len(sets))
+    pick = np.random.default_rng(3)
+    for _ in range(epochs):
+        moved = 0.0
+        for i in pick.permutation(len(sets)).tolist():
+            at, own, y = sets[i], scaled[i], labels[i]
+            margin = y * (float(weights[at] @ own) + bias)
+            step = max(-alpha[i], (1 - margin - alpha[i] * 0.5 / cost) / (float(own @ own) + 1 + 0.5 / cost))
+            if abs(step) > 1e-6:
+                alpha[i] += step
+                weights[at] += np.float32(step * y) * own
+                bias += step * y
+                moved = max(moved, abs(step))
+        if moved < 1e-3:
+            break
+    return weights, bias
+
+
+def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = 1000, chars_each: int = 4_000_000, smooth: float = 1.0, cost: float = 1.0, epochs: int = 20) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic) of the rows where training holds for labels' doc_id.
 
-    About per_class rows of either label are chosen by a hash of doc_id; a doc_id with several labels counts as toxic if one says so,
-    and null labels do not count. Over the sample, counts of documents that hold an n-gram give its log-count ratio, and the
-    `terms` n-grams that are furthest from chance, least_z standard errors at least, become features with the ratio as value.
-    Without rows of both labels the model gives every text the score 0.
+    About per_class doc_ids of either label are chosen by a hash, in the order of the hash as long as their texts have no more than
+    chars_each characters together (one at least). A doc_id with several labels counts as toxic if one says so, one with several
+    texts has the least; null doc_ids and labels do not count. Over the sample, the numbers of documents that hold an n-gram give its
+    log-count ratio; an n-gram's value is the ratio times its distance from chance in standard errors, and a text's vector has
+    length one. All n-grams have a place, of 2^20. Without rows of both labels the model gives every text the score 0.
     """
     small_batches(docs.sparkSession)
     known = labels.where(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("key")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     chosen = bounded_sample(known, "toxic", F.col("key"), per_class, classes=2)
-    rows = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), "text").join(F.broadcast(chosen), "key").select("toxic", F.col("text").cast("string").alias("text"))
-
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            toxic = batch.column("toxic").to_pylist()
-            held: dict[int, list[np.ndarray]] = {0: [np.empty(0, np.uint64)], 1: [np.empty(0, np.uint64)]}
-            for y, text in zip(toxic, batch.column("text"), strict=True):
-                held[y].append(np.unique(grams(text.as_py() or "", SIZES)))
-            every = np.concatenate(held[0] + held[1])
-            sign = np.repeat([0, 1], [sum(map(len, held[0])), sum(map(len, held[1]))])
-            codes, at = np.unique(every, return_inverse=True)
-            n = [np.bincount(at[sign == y], minlength=len(codes)) for y in (0, 1)]
-            n[0] = np.append(n[0], len(toxic) - sum(toxic))
-            n[1] = np.append(n[1], sum(toxic))
-            yield pa.RecordBatch.from_arrays([pa.array(np.append(codes.view(np.int64), 0)), pa.array(n[0]), pa.array(n[1])], ["code", "clean", "toxic"])
-
-    sums = rows.mapInArrow(counted, "code long, clean long, toxic long").groupBy("code").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    totals = {r.toxic: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    nothing = Model(np.empty(0, np.uint64), np.empty(0), -50.0)
-    if len(totals) < 2:
-        return nothing
-    p, n = F.col("toxic") + smooth, F.col("clean") + smooth
-    ratio = F.log(p / (totals[1] + 2 * smooth)) - F.log(n / (totals[0] + 2 * smooth))
-    rated = sums.where("code != 0").withColumn("ratio", ratio).withColumn("z", F.abs(F.col("ratio")) / F.sqrt(1 / p + 1 / n))
-    best = rated.where(F.col("z") >= least_z).orderBy(F.desc("z"), "code").limit(terms).select("code", "ratio").collect()
-    if not best:
-        return nothing
-    codes = np.array([r.code for r in best], np.int64).astype(np.uint64)
-    order = np.argsort(codes)
-    codes, ratios = codes[order], np.array([r.ratio for r in best])[order]
-    draft = docs.sparkSession.sparkContext.broadcast(Model(codes, ratios, 0.0))
+    texts = docs.where("doc_id is not null").select(F.col("doc_id").alias("key"), F.col("text").cast("string").alias("text"))
+    rows = texts.join(F.broadcast(chosen), "key").groupBy("key", "toxic").agg(F.min("text").alias("text"))
+    sizes: dict[int, int] = {}
+    picked = []
+    for r in sorted(rows.select("key", "toxic", F.xxhash64("key").alias("h"), F.coalesce(F.length("text"), F.lit(0)).alias("n")).collect(), key=lambda r: (r.h, r.key)):
+        if r.toxic not in sizes or sizes[r.toxic] + r.n <= chars_each:
+            sizes[r.toxic] = sizes.get(r.toxic, 0) + r.n
+            picked.append(r.key)
+    if len(sizes) < 2:
+        return Model(np.zeros(1 << BITS), np.zeros(1 << BITS), -50.0)
 
     def marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [draft.value.present(t).astype("<i4").tobytes() for _, texts in slices(batch) for t in texts]
+            held = [present(t).astype("<i4").tobytes() for _, own in slices(batch) for t in own]
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(held, pa.binary())], ["toxic", "held"])
 
-    found = sorted((r.toxic, bytes(r.held)) for r in rows.mapInArrow(marked, "toxic int, held binary").collect())
-    x = np.zeros((len(found), len(codes)), np.float32)
-    for k, (_, held) in enumerate(found):
-        x[k, np.frombuffer(held, "<i4")] = 1
-    scaled = ratios / np.abs(ratios).max()
-    weights = support_vectors(x * scaled.astype(np.float32), np.where(np.array([y for y, _ in found]) > 0, 1.0, -1.0))
-    return Model(codes, weights[:-1] * scaled, float(weights[-1]))
+    picked_rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in picked], chosen.select("key").schema)), "key").select("toxic", "text")
+    found = sorted((r.toxic, bytes(r.held)) for r in picked_rows.mapInArrow(marked, "toxic int, held binary").collect())
+    sets, toxic = [np.frombuffer(x, "<i4") for _, x in found], np.array([y for y, _ in found])
+    counts = [sum((np.bincount(x, minlength=1 << BITS) for x, y in zip(sets, toxic, strict=True) if y == k), np.zeros(1 << BITS)) + smooth for k in (0, 1)]
+    ratio = np.log(counts[1] / ((toxic == 1).sum() + 2 * smooth)) - np.log(counts[0] / ((toxic == 0).sum() + 2 * smooth))
+    ratio[(counts[0] == smooth) & (counts[1] == smooth)] = 0  # n-grams that no document of the sample holds
+    values = ratio * np.abs(ratio) / np.sqrt(1 / counts[0] + 1 / counts[1])
+    return Model(values, *_machine(sets, np.where(toxic > 0, 1.0, -1.0), values, cost, epochs))
 
 
-def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns keep and score (0 to 1) for each row of docs; whole texts are read, and nothing but the text counts.
+def judged(docs: DataFrame, model: Model) -> DataFrame:
+    """(kept, score) for each row of docs: kept is the row itself as a struct, score from 0 to 1; whole texts are read, and nothing but the text counts.
 
-    Null and empty texts are scored like texts without any n-gram of the model. Repeated rows and null doc_ids give a row each.
+    Null and empty texts are scored like texts without any n-gram of the model. Repeated rows, null doc_ids and columns of any
+    name stay as they are, a row each; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    score = lambda texts: [pa.array([shared.value.score(t) for t in texts], pa.float64())]
+    return with_results(docs, score, "score double")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shared.value.score(t) for _, texts in slices(batch) for t in texts]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, pa.float64())], [*keep, "score"])
 
-    cut = docs.select(*[c for c in keep if c != "text"], F.col("text").cast("string").alias("text"))
-    return cut.mapInArrow(run, ", ".join(f"`{c}` {cut.schema[c].dataType.simpleString()}" for c in keep) + ", score double")
+def scored(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The columns keep and score of judged(); keep must not hold that name."""
+    return kept_fields(judged(docs.select(*dict.fromkeys((*keep, "text"))), model), keep, "score")
