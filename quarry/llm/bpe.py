@@ -8,7 +8,7 @@ from itertools import chain
 import numpy as np
 
 NONE = np.iinfo(np.int64).max
-_AT = 1 << 24  # a tree value is rank * _AT + position, so the least one is the leftmost pair of the lowest rank
+_AT = 1 << 40  # a tree value is rank * _AT + position, so the least one is the leftmost pair of the lowest rank; ranks are below 2^23
 
 
 class Merges:
