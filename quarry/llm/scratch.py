@@ -25,11 +25,11 @@ def folder(spark: SparkSession) -> str:
 
 
 def sized(df: DataFrame, rows: int, rows_each: int = 20_000) -> DataFrame:
-    """df in no more partitions than rows, a bound on how many it has, give reason for: rows_each at least, or four for each core.
+    """df in no more partitions than rows, a bound on how many it has, give reason for: rows_each at least, or eight for each core.
 
     That only unites partitions; a table whose rows are many is left as it is.
     """
-    return df.coalesce(max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_each)))
+    return df.coalesce(max(8 * df.sparkSession.sparkContext.defaultParallelism, -(-rows // rows_each)))
 
 
 def written(df: DataFrame, name: str, rows: int | None = None, rows_each: int = 20_000) -> DataFrame:

@@ -1,13 +1,15 @@
 """The training-data operators against brute force, on small tables with odd rows."""
 
-import hashlib
+import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from quarry.llm import byte_bpe, embeddings, language, licenses, packing, queries, resemblance, secrets, simhash, toxicity, urls, vafile
@@ -214,13 +216,14 @@ def test_language(spark, odd):
     model = language.fit(docs, F.lit(True))
     found = [(r.lang_pred, r.score) for r in language.predicted(docs, model).orderBy("doc_id").collect()]
     assert found.count(("und", 0.0)) == 2 and {x for x, _ in found} == {"en", "und"}
+    assert model.predict("½ ² 12 Ⅷ ①") == ("und", 0.0) and model.predict("中")[0] == "en"
     assert language.fit(docs.limit(0), F.lit(True)).predict("some text") == ("und", 0.0)
 
 
 def test_toxicity(spark, odd):
     rows = queries.op7_toxicity(spark, "/root/testdata/sf0.1").join(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"), "doc_id").where("held_out").collect()
     toxic, clean = [r for r in rows if r.toxic], [r for r in rows if not r.toxic]
-    assert sum(r.predicted for r in toxic) >= 0.75 * len(toxic) and sum(r.predicted for r in clean) <= 0.01 * len(clean)
+    assert sum(r.predicted for r in toxic) >= 0.85 * len(toxic) and sum(r.predicted for r in clean) <= 0.015 * len(clean)
     assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
     model = toxicity.fit(odd, spark.createDataFrame([(1, None)], "doc_id long, toxic int"), F.lit(True))
     assert [r.score for r in toxicity.scored(odd, model).collect()] == [pytest.approx(0, abs=1e-9)] * len(TEXTS)
@@ -237,28 +240,68 @@ def test_urls(spark):
 
 
 @pytest.mark.parametrize("cells", [4, 128])
-def test_top_k(spark, cells):
+@pytest.mark.parametrize("large", [False, True])
+def test_top_k(spark, cells, large):
+    """Brute force over rows that repeat a vec_id, have none, tie, or are too large for cells."""
     pick = np.random.default_rng(6)
     rows = [(k, (pick.standard_normal(8) / 2).tolist()) for k in range(300)]
-    rows += [(300, rows[50][1]), (301, None), (302, [float("inf")] * 8), (303, [1.0, None]), (350, [0.5, 0.25]), (None, rows[0][1]), (400, [])]
+    rows += [(300, rows[50][1]), (301, None), (302, [float("inf")] * 8), (303, [1.0, None]), (350, [0.5, 0.25]), (None, rows[0][1]), (400, []), (7, rows[8][1]), (7, rows[8][1]), (50, rows[9][1])]
+    if large:
+        rows += [(500, [2.0**21, -1.0]), (501, [-(2.0**21), 3.0]), (450, [1e30, 1e30]), (502, [-1e30, 1.0])]
     table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit(0))
-    good = {k: [int(np.floor(256 * x)) for x in v] for k, v in rows if k is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)}
+    good = [(n, k, [math.floor(256 * x) for x in v]) for n, (k, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    edge = lambda x: max(-(1 << 63), min(x, (1 << 63) - 1))
     want = []
-    for q in sorted(k for k in good if k % 50 == 0):
-        best = sorted((-sum(a * b for a, b in zip(good[q], v)), k) for k, v in good.items() if k != q)[:5]
-        want += [(q, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    for n, q, own in good:
+        if q is not None and q % 50 == 0:
+            best = sorted((-sum(a * b for a, b in zip(own, v)), k is None, k) for m, k, v in good if m != n)[:5]
+            want += [(q, r + 1, k, edge(-s)) for r, (s, _, k) in enumerate(best)]
     found = vafile.top_k(table, cells=cells, block=3, chunk=64).collect()
-    assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in found) == want
+    key = lambda x: (x[0], x[1], x[3], str(x[2]))
+    assert sorted(((r.query_id, r.rank, r.vec_id, r.score) for r in found), key=key) == sorted(want, key=key)
     assert vafile.top_k(table.limit(0)).count() == 0
 
 
+def _cosine(a, b, weight):
+    a, b = Counter(licenses.words_of(a)), Counter(licenses.words_of(b))
+    dot = sum(n * b[w] * weight(w) ** 2 for w, n in a.items())
+    norm = lambda x: math.sqrt(sum((n * weight(w)) ** 2 for w, n in x.items()))
+    return dot / (norm(a) * norm(b)) if a and b else 0.0
+
+
 def test_licenses(spark):
-    mit = licenses.TEMPLATES["MIT"].split("\n\n")[0]
-    rows = [(1, "a/LICENSE", mit), (2, "a/b/c.py", "some code"), (3, "a/b/d.py", f"code of its own\n{licenses.TEMPLATES['GPL-3.0']}\n" + "and many more words that no template has\n" * 9), (4, "x/y.py", None), (5, None, ""), (5, None, ""), (6, "a/b/LICENSE", licenses.TEMPLATES["Apache-2.0"].split("\n\n")[0]), (7, "z.py", "The " * 3000)]
+    """Every passage against every template by brute force; then directories, ties, nulls and repeats."""
+    own = licenses.TEMPLATES
+    words = "some code of its own and many more words that no template has at all".split()
+    pick = random.Random(4)
+    prose = lambda n: " ".join(pick.choice(words) for _ in range(n))
+    mit = "MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + own["MIT"][2]
+    wrapped = "/* " + own["GPL-3.0"][1].replace(" redistribute", "\n * redistribute").replace(" MERCH", "\n * MERCH") + " */\n" + prose(400)
+    rows = [
+        (1, "a/LICENSE", mit), (2, "a/b/c.py", prose(40)), (3, "a/b/d.py", f"{prose(9)}\n{own['GPL-3.0'][0]}\n" + prose(90)), (4, "x/y.py", None), (5, None, ""), (5, None, ""),
+        (6, "a/b/LICENSE", licenses.OPENINGS["Apache-2.0"] + " " + prose(2000)), (7, "z.py", "The " * 3000), (8, "c/COPYING", own["GPL-3.0"][0]), (9, "c/LICENSE", own["GPL-2.0"][0]), (10, "c/d/e/f.py", prose(5)),
+        (11, "q/r.py", f"# SPDX-License-Identifier: MIT\n{prose(60)}"), (12, "q/s.py", wrapped), (13, None, own["MIT"][0]), (14, "bsd/LICENSE", "Copyright (c) 2021, X\n\n" + own["BSD-3-Clause"][2]), (15, "bsd/x/y/z.py", prose(30)),
+    ]
     files = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumn("license", F.lit("x"))
-    found = {r.doc_id: (r.license, r.basis, r.directory) for r in licenses.scanned(files).collect()}
-    assert found[1] == ("MIT", "file", None) and found[2] == ("Apache-2.0", "inherited", "a/b") and found[3] == ("GPL-3.0", "header", None)
-    assert found[4] == found[5] == found[7] == (None, None, None)
+    found = {r.doc_id: r for r in licenses.scanned(files).collect()}
+    held, n = licenses._held(files)
+    weight = lambda w: 1 - math.log(min(1.0, max(1e-3, held[licenses.counter_of(w)] / n)))
+    assert n == len(rows) and held[licenses.counter_of("own")] == sum("own" in licenses.words_of(t or "") for *_, t in rows)
+    for doc, path, text in rows:
+        every = licenses.words_of(text or "")
+        whole = [(round(_cosine(" ".join(every), t, weight), 12), name) for name, ts in own.items() for t in ts] + [(round(_cosine(" ".join(every[: len(licenses.words_of(t))]), t, weight), 12), name) for name, t in licenses.OPENINGS.items()]
+        runs = [(round(_cosine(" ".join(every[k : k + size]), t, weight), 12), name) for name, ts in own.items() for t in ts for size in [len(licenses.words_of(t))] for k in range(max(1, len(every) - size + 1))] if len(every) < 700 else []
+        best = lambda x: min(((-s, name) for s, name in x if s >= 0.8), default=None)
+        tag = [(1.0, "MIT")] if "SPDX" in (text or "") else []
+        want = (best(whole)[1], "file") if best(whole) else (best(runs + tag)[1], "header") if best(runs + tag) else None
+        if want:
+            assert (found[doc].license, found[doc].basis) == want, doc
+        else:
+            assert found[doc].basis in (None, "inherited") and found[doc].score == 0
+    assert [found[k].license for k in (1, 6, 12, 14)] == ["MIT", "Apache-2.0", "GPL-3.0", "BSD-3-Clause"]
+    assert (found[2].license, found[2].directory) == ("Apache-2.0", "a/b") and (found[15].license, found[15].directory) == ("BSD-3-Clause", "bsd")
+    assert (found[10].license, found[10].basis, found[10].directory) == ("GPL-2.0", "inherited", "c")  # of equal scores the first name
+    assert found[4].license is found[5].license is found[7].license is None
     assert licenses.scanned(files.limit(0)).count() == 0
 
 
@@ -326,4 +369,67 @@ def test_pipeline(spark):
     assert not [r for r in secrets.spans(state).collect() if r.base]
     packed = corpus_pipeline.run(spark, DATA).collect()
     assert {r.doc_id for r in packed} == {r.doc_id for r in state.collect()}
-    assert all(hashlib.sha256 and r.length > 0 for r in packed)
+    library = packing.WordBpe(public_tokenizers.path("word_bpe_49k.json")).library
+    ids = {r.doc_id: library.encode(r.text or "", add_special_tokens=False).ids + [2] for r in state.collect()}
+    for r in packed:
+        assert r.ids_crc32 == zlib.crc32(np.array(ids[r.doc_id][r.start : r.start + r.length], "<u4").tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+    assert sum(r.length for r in packed) == sum(map(len, ids.values()))
+
+
+def test_pipeline_odd_rows(spark):
+    """Every stage on clashing columns, null and repeated doc_ids, null, empty and long texts, and an empty table."""
+    import corpus_pipeline
+
+    good = "The weather was fine and the people went to the market in the old town. " * 3
+    long = " ".join(f"{random.Random(k).choice('the of and people town market weather'.split())} w{k}" for k in range(60_000))
+    texts = [None, "", "12 ½", good, good, good + "password=hunter22", long, "The children read the book at school."]
+    names = ["score", "lang_pred", "spans", "row", "kept", "node", "base", "access", "ids", "_row", "n", "group"]
+    docs = spark.createDataFrame([(None if k % 2 else 7, t, "en" if k > 4 else None) for k, t in enumerate(texts)], "doc_id long, text string, lang string")
+    docs = docs.select("*", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    added = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text", "lang", *[F.lit(k).alias(n) for k, n in enumerate(names)])
+    table = docs.unionByName(added)
+    for name, stage in corpus_pipeline.STAGES:
+        found = stage(spark, table, DATA)
+        if name != "packing":
+            assert found.columns == docs.columns
+            held = found.where(" and ".join(f"`{n}` = {k}" for k, n in enumerate(names)))
+            texts_now = [r.text for r in held.collect()]
+            assert len(texts_now) == found.count() and (name == "language" or long in texts_now)
+            assert {"language": None not in texts_now and "12 ½" not in texts_now, "toxicity": None in texts_now, "near_duplicates": texts_now.count(good) == 1, "secrets": not any("hunter22" in (t or "") for t in texts_now)}[name]
+        else:
+            assert found.agg(F.sum("length")).first()[0] > 60_000
+        assert stage(spark, table.limit(0), DATA).count() == 0
+
+
+def test_packing_control_characters():
+    own = packing.WordBpe(public_tokenizers.path("word_bpe_49k.json"), kept=50)
+    pick = random.Random(2)
+    pool = "abcXYZ 019'.,!-\t\n\r\x01\x07\x08\x0b\x1c\x1f\x7f\x85\xa0éÉßΣσςİ中字\u0308\u200b\u3000😀²½Ⅷ\U0002b73a\U00018d80\u1c89'st'LL"
+    texts = ["a\x07b", "\x7f", "\x08", ""] + ["".join(pick.choices(pool, k=pick.randrange(40))) for _ in range(3000)]
+    library = own.library.encode_batch(texts, add_special_tokens=False)
+    assert [np.frombuffer(x, own.width).tolist() for x in own.encode(texts)] == [x.ids for x in library]
+
+
+def test_packing_scores():
+    """BM25 by its formula over all terms, and windows that take the best unused neighbours of their seed."""
+    pick = np.random.default_rng(3)
+    docs = [pick.integers(0, 60, pick.integers(1, 40)).astype("<u2") for _ in range(60)]
+    idf, mean = pick.random(64).astype(np.float32) + 0.1, float(np.mean([len(d) for d in docs]))
+    index = packing.Index(docs, idf, mean)
+    for k, own in enumerate(docs):
+        want = [sum(idf[t] * c[t] * 2.2 / (c[t] + 1.2 * (0.25 + 0.75 * len(d) / mean)) for t in set(own.tolist()) if t in c) for d in docs for c in [Counter(d.tolist())]]
+        assert np.allclose(index.scores(k), want, rtol=1e-4)
+    pieces = list(packing.pack_shard(docs, idf, mean, 64))
+    assert sorted((d, s + i) for d, s, n, *_ in pieces for i in range(n)) == [(d, i) for d, x in enumerate(docs) for i in range(len(x))]
+    first = [d for d, _, _, sequence, _ in pieces if sequence == 0]
+    assert first[1:] == index.neighbours(0, np.arange(60) != 0)[: len(first) - 1].tolist()
+
+
+def test_simhash_fingerprints(spark):
+    docs = [r.text for r in spark.read.parquet(f"{DATA}/documents.parquet").select("text").limit(60).collect()]
+    for text in [*docs, "A b C", "", "x"]:
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text)) if w]
+        grams = [" ".join(words[k : k + 4]) for k in range(max(1, len(words) - 3))] if words else []
+        hashes = [xxhash.xxh64_intdigest(g.encode(), 42) for g in grams]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+        assert simhash.fingerprint(text.encode()) & ((1 << 64) - 1) == want
