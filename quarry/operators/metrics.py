@@ -79,12 +79,13 @@ def flops_penalty(terms: DataFrame, rows: int) -> DataFrame:
 
 
 def quotas(weights: DataFrame, name: str, weight: str, block: int = 10_000) -> DataFrame:
-    """(name, quota): the largest-remainder share of each name in a block; ties go to the first name. One row for each name, so weights are few."""
+    """(name, quota): the largest-remainder share of each name in a block; ties go to the first name, and a name without any is an error. One row for each name, so weights are few."""
     total = F.sum(weight).over(Window.partitionBy())
     raw = weights.select(name, (F.col(weight) / total * block).alias("raw")).select("*", F.floor("raw").alias("q"))
     left = F.lit(block) - F.sum("q").over(Window.partitionBy())
     place = F.row_number().over(Window.orderBy(F.desc(F.round(F.col("raw") - F.col("q"), 9)), name))
-    return raw.select(name, (F.col("q") + F.when(place <= left, 1).otherwise(0)).alias("quota"))
+    own = raw.select(name, (F.col("q") + F.when(place <= left, 1).otherwise(0)).alias("quota"))
+    return own.select(name, F.when(F.col("quota") > 0, F.col("quota")).otherwise(F.raise_error(F.lit("a weight is too small for the block")).cast("long")).alias("quota"))
 
 
 def choices(options: DataFrame) -> DataFrame:

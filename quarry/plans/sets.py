@@ -136,19 +136,6 @@ def segments_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.segments(docs, 256, "end").select("doc_id", "start", "length")
 
 
-@query()
-def best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", (F.floor(F.col("doc_id") / 4096)).alias("shard_ix"), tokens.estimated(F.col("text")).alias("n_tokens"))
-    return tokens.packed(tokens.segments(docs, 1024).drop("n_tokens"), 1025)
-
-
-@query()
-def permuted_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("window_ix"))
-    last = docs.agg(F.max("window_ix")).first()[0]
-    return tokens.permutation(docs, "window_ix", 1 if last is None else last + 1, 7)
-
-
 @query(
     "with g as (select user_id, date_trunc('hour', ts) as hour, count(*) as n, sum(value) as v from events group by all) select user_id, hour, n, round(v, 6) as v from g"
 )

@@ -1,11 +1,13 @@
 """The engine's own operators on hand-computed cases, and queries beside their SQL."""
 
+import random
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import chat, cleaning, dedup, prose, quality, tokens
+from quarry.operators import chat, cleaning, dedup, metrics, prose, quality, tokens
 from quarry.plans import registry
 from quarry.sources import extract
 
@@ -45,25 +47,55 @@ def test_segments_and_fit(spark):
     assert tokens.best_fit([3, 3, 2, 2], 5) == [0, 1, 0, 1]
 
 
-def test_permutation_and_mixture():
-    assert sorted(tokens.permuted(i, 1000, 7) for i in range(1000)) == list(range(1000))
-    counts = tokens.quotas([0.9, 0.1], 10_000)
-    assert counts == [9000, 1000]
-    assert sum(f for f, _ in list(tokens.round_robin(counts))[:100]) == 10
+def test_permutation(spark):
+    for n in (1, 2, 3, 37, 1000, 70_001):
+        places = [r.p for r in spark.range(n).select(tokens.permuted(F.col("id"), n, 7).alias("p")).collect()]
+        assert sorted(places) == list(range(n))
+        assert n < 37 or sum(a == b for a, b in enumerate(places)) < n / 8
+    with pytest.raises(Exception, match="not in the range"):
+        spark.range(5).select(tokens.permuted(F.col("id"), 4, 7)).collect()
+
+
+def test_mixture(spark):
+    quotas = metrics.quotas(spark.createDataFrame([("a", 0.9), ("b", 0.1)], "name string, weight double"), "name", "weight")
+    block = tokens.interleaved(quotas)
+    assert {r.name: r.quota for r in quotas.collect()} == {"a": 9000, "b": 1000}
+    assert block.where("position < 100 and name = 'b'").count() == 10
+    with pytest.raises(Exception, match="too small"):
+        metrics.quotas(spark.createDataFrame([("a", 1.0), ("b", 1e-9)], "name string, weight double"), "name", "weight").collect()
+    bases = spark.createDataFrame([("a", 5), ("b", 7)], "name string, base long")
+    found = tokens.located(spark.range(20_000).withColumnRenamed("id", "k"), block, quotas, bases, 10_000)
+    assert sorted(r["sample"] for r in found.where("name = 'b'").collect()) == list(range(7, 2007))
+    assert {r.name: r.base for r in tokens.given(quotas, bases, block, 10_000, 10_000).collect()} == {"a": 9005, "b": 1007}
+
+
+def test_best_fit_fits():
+    lengths = [random.Random(k).randrange(1, 65) for k in range(500)]
+    own = tokens.best_fit(lengths, 64)
+    held = [sum(n for n, w in zip(lengths, own, strict=True) if w == x) for x in range(max(own) + 1)]
+    assert max(held) <= 64 and sum(64 - h for h in held) < 64 * 3
+    with pytest.raises(ValueError):
+        tokens.best_fit([65], 64)
+
+
+def test_splits(spark):
+    shards = spark.createDataFrame([(k,) for k in range(300)], "shard_ix long")
+    assert tokens.split_of(shards, "shard_ix").where("split = 'val'").count() == 3
+    assert tokens.split_of(shards.limit(1), "shard_ix").where("split = 'val'").count() == 0
+    assert tokens.split_of(shards, "shard_ix", [5]).where("split = 'val'").first().shard_ix == 5
+    assert tokens.split_of(shards, "shard_ix", none=True).where("split = 'val'").count() == 0
 
 
 def test_permuted_windows(spark, tmp_path):
     """Windows beyond 1 << 20 come to an end, and positions stay below the number that the table has."""
-    from quarry.plans import sets
+    from quarry.plans import windows
 
     ids = [*range(50), None, 1 << 20, (1 << 20) + 7, 3_000_000]
     spark.createDataFrame([(k,) for k in ids], "doc_id long").write.parquet(f"{tmp_path}/documents.parquet")
-    found = {r.window_ix: r.position for r in sets.permuted_windows(spark, str(tmp_path)).collect()}
-    assert found == {k: None if k is None else tokens.permuted(k, 3_000_001, 7) for k in ids}
-    assert len(set(found.values())) == len(ids)
-    for i in (-1, 1000, 1 << 20):
-        with pytest.raises(ValueError):
-            tokens.permuted(i, 1000, 7)
+    found = {r.window_ix: r.position for r in windows.permuted_windows(spark, str(tmp_path)).collect()}
+    assert found.keys() == set(ids) and found[None] is None
+    places = [p for p in found.values() if p is not None]
+    assert len(set(places)) == len(ids) - 1 and all(0 <= p < 3_000_001 for p in places)
 
 
 def test_chat(spark):
