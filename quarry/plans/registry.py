@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarry.plans import corpus, measures, sets, windows  # noqa: F401  measures and windows put their queries beside those of sets
+from quarry.plans import corpus, measures, sets, training, windows  # noqa: F401  measures, training and windows put their queries beside those of sets
 
 QUERIES: dict = {**corpus.QUERIES, **sets.QUERIES}
 ORACLES: dict = {**corpus.ORACLES, **sets.ORACLES}
