@@ -57,3 +57,8 @@ def share(items: Column, pattern: str) -> Column:
     """The share of items in which the pattern is found; 0 for none."""
     hits = lambda x: F.size(F.filter(x, lambda y: F.regexp_like(y, F.lit(pattern))))
     return let(items, lambda x: F.when(F.size(x) > 0, hits(x) / F.size(x)).otherwise(0.0))
+
+
+def lines_of(text: Column) -> Column:
+    """Stripped lines that are not blank, where only LF ends a line."""
+    return F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
