@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,7 +15,7 @@ from quarry.llm.rows import kept_fields, with_results
 from quarry.llm.scratch import slices
 from quarry.session import small_batches
 
-SIZES = range(3, 7)
+SIZES = range(4, 7)
 BITS = 20
 _MARK = np.zeros(1 << BITS, bool)
 
@@ -32,14 +33,13 @@ class Model:
     """The value of each n-gram's presence, which is scaled to vectors of length one, and the weight of each value."""
 
     def __init__(self, values: np.ndarray, weights: np.ndarray, bias: float, slope: float = 4.0, shift: float = 0.45):
-        self.values, self.products = values.astype(np.float32), (values * weights).astype(np.float32)
+        self.both = (values + 1j * (values * weights)).astype(np.complex64)  # side by side, so that a text reads one table
         self.bias, self.slope, self.shift = bias, slope, shift
 
     def score(self, text: str | None) -> float:
-        at = present(text)
-        own = self.values[at]
-        length = float(np.sqrt(own @ own))
-        margin = (float(self.products[at].sum(dtype=np.float64)) / length if length else 0.0) + self.bias
+        own = self.both[present(text)]
+        length = float(np.sqrt(own.real @ own.real))
+        margin = (float(own.imag.sum(dtype=np.float64)) / length if length else 0.0) + self.bias
         return float(sigmoid(np.float64(self.slope * margin + self.shift)))
 
 
@@ -68,7 +68,7 @@ def _machine(sets: list[np.ndarray], labels: np.ndarray, values: np.ndarray, cos
     return weights, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = 1000, chars_each: int = 4_000_000, smooth: float = 1.0, cost: float = 1.0, epochs: int = 20) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = 1000, chars_each: int = 2_000_000, smooth: float = 1.0, cost: float = 3.0, epochs: int = 20) -> Model:
     """A model from docs (doc_id, text) and labels (doc_id, toxic) of the rows where training holds for labels' doc_id.
 
     About per_class doc_ids of either label are chosen by a hash, in the order of the hash as long as their texts have no more than
@@ -97,9 +97,11 @@ def fit(docs: DataFrame, labels: DataFrame, training: Column, per_class: int = 1
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(held, pa.binary())], ["toxic", "held"])
 
     picked_rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame([(k,) for k in picked], chosen.select("key").schema)), "key").select("toxic", "text")
-    found = sorted((r.toxic, bytes(r.held)) for r in picked_rows.mapInArrow(marked, "toxic int, held binary").collect())
-    sets, toxic = [np.frombuffer(x, "<i4") for _, x in found], np.array([y for y, _ in found])
-    counts = [sum((np.bincount(x, minlength=1 << BITS) for x, y in zip(sets, toxic, strict=True) if y == k), np.zeros(1 << BITS)) + smooth for k in (0, 1)]
+    found = picked_rows.mapInArrow(marked, "toxic int, held binary").toArrow()
+    sets, toxic = [np.frombuffer(x.as_buffer(), "<i4") for x in found.column("held")], found.column("toxic").to_numpy()
+    order = sorted(range(len(sets)), key=lambda k: (toxic[k], len(sets[k]), sets[k].tobytes()[:64], zlib.crc32(sets[k])))  # whatever task found them
+    sets, toxic = [sets[k] for k in order], toxic[order]
+    counts = [np.bincount(np.concatenate([x for x, y in zip(sets, toxic, strict=True) if y == k]), minlength=1 << BITS) + smooth for k in (0, 1)]
     ratio = np.log(counts[1] / ((toxic == 1).sum() + 2 * smooth)) - np.log(counts[0] / ((toxic == 0).sum() + 2 * smooth))
     ratio[(counts[0] == smooth) & (counts[1] == smooth)] = 0  # n-grams that no document of the sample holds
     values = ratio * np.abs(ratio) / np.sqrt(1 / counts[0] + 1 / counts[1])
