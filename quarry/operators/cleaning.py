@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -33,9 +34,9 @@ def normalized(text: Column) -> Column:
     return tx.stripped(text)
 
 
-def notice_text(text: Column) -> Column:
+def notice_text(text: Column, form: Callable[[Column], Column] = nfkc) -> Column:
     """Markup as spaces, no control characters, and runs of blanks and of line ends shortened."""
-    text = F.regexp_replace(nfkc(F.regexp_replace(text, "<[^>]+>", " ")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    text = F.regexp_replace(form(F.regexp_replace(text, "<[^>]+>", " ")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
     return tx.stripped(F.regexp_replace(F.regexp_replace(text, "[ \t]+", " "), r"\n{3,}", "\n\n"))
 
 

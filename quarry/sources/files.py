@@ -6,6 +6,7 @@ import gzip
 import io
 import tarfile
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
@@ -100,27 +101,32 @@ def _safe(name: str) -> bool:
     return not name.startswith(("/", "\\")) and ".." not in name.replace("\\", "/").split("/")
 
 
-def _members(name: str, data: bytes, depth: int) -> Iterator[tuple[str, bytes]]:
-    if depth and data[:2] == b"\x1f\x8b":
-        yield from _members(name.removesuffix(".gz"), gzip.decompress(data), depth - 1)
-    elif depth and data[:4] == b"PK\x03\x04":
-        with zipfile.ZipFile(io.BytesIO(data)) as z:
-            for x in z.infolist():
-                if not x.is_dir() and _safe(x.filename):
-                    yield from _members(f"{name}/{x.filename}", z.read(x), depth - 1)
-    elif depth and data[257:262] == b"ustar":
-        with tarfile.open(fileobj=io.BytesIO(data)) as t:
-            for x in t:
-                if x.isfile() and _safe(x.name):
-                    yield from _members(f"{name}/{x.name}", t.extractfile(x).read(), depth - 1)
-    else:
-        yield name, data
+def _members(name: str, data: bytes, depth: int) -> Iterator[tuple[str, bytes | None]]:
+    """The files in an archive; one that is damaged gives what could be read of it, and its own name without content."""
+    try:
+        if depth and data[:2] == b"\x1f\x8b":
+            yield from _members(name.removesuffix(".gz"), gzip.decompress(data), depth - 1)
+        elif depth and data[:4] == b"PK\x03\x04":
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                for x in z.infolist():
+                    if not x.is_dir() and _safe(x.filename):
+                        yield from _members(f"{name}/{x.filename}", z.read(x), depth - 1)
+        elif depth and data[257:262] == b"ustar":
+            with tarfile.open(fileobj=io.BytesIO(data)) as t:
+                for x in t:
+                    if x.isfile() and _safe(x.name):
+                        yield from _members(f"{name}/{x.name}", t.extractfile(x).read(), depth - 1)
+        else:
+            yield name, data
+    except (OSError, EOFError, zlib.error, zipfile.BadZipFile, tarfile.TarError, RuntimeError, NotImplementedError):
+        yield name, None
 
 
 def members(files: DataFrame, depth: int = 5) -> DataFrame:
     """(path, content) of the files in gzip, zip and tar archives, known by their first bytes and opened to the given depth; others stay as they are.
 
-    Names that lead out of the archive are left out. Null contents are dropped. Nothing is written to disk.
+    Names that lead out of the archive are left out; a damaged archive is a row without content. Null contents are dropped. Nothing is
+    written to disk.
     """
     ship(files.sparkSession)
 
@@ -131,3 +137,57 @@ def members(files: DataFrame, depth: int = 5) -> DataFrame:
                     yield pd.DataFrame({"path": [name], "content": [data]})
 
     return files.select("path", "content").where("content is not null").mapInPandas(run, "path string, content binary")
+
+
+def lines_read(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of the lines of a text that are not blank, as JSON lines have one object each."""
+    return spark.read.text(path).where(F.rlike("value", F.lit(r"(?U)\S")))
+
+
+def cases(spark: SparkSession, path: str, schemas: dict[str, str] | None = None) -> DataFrame:
+    """The rows of a Parquet or a JSON-lines file or folder, by its name; columns in schemas hold JSON as text and are read by these."""
+    rows = spark.read.parquet(path) if path.rstrip("/").endswith(".parquet") else spark.read.json(path)
+    for name, schema in (schemas or {}).items():
+        if rows.schema[name].dataType.simpleString() == "string":
+            rows = rows.withColumn(name, F.from_json(name, schema))
+    return rows
+
+
+def prompt_rows(spark: SparkSession, path: str) -> DataFrame:
+    """(prompt, response) of a JSON document: a list of objects, or an object whose values are such lists, one after the other."""
+    item = "array<struct<prompt:string,response:string>>"
+    whole = spark.read.text(path, wholetext=True).select(F.col("value").alias("v"))
+    listed_ = F.rlike("v", F.lit(r"^\s*\["))
+    rows = F.when(listed_, F.from_json("v", item)).otherwise(F.flatten(F.map_values(F.from_json("v", f"map<string,{item}>"))))
+    return whole.select(F.explode(rows).alias("r")).select("r.prompt", "r.response")
+
+
+def extracted(files: DataFrame, keys: tuple[str, ...] = ("text",)) -> DataFrame:
+    """(path, format, text) of files (path, format, content): by format the text of each, in normal form; what has none is left out.
+
+    A file of JSON lines gives a row for each line that is JSON and has texts. PDF needs its pages as rows and is not read here.
+    """
+    from quarry.operators.cleaning import normalized
+    from quarry.sources.extract import html_text, json_text
+
+    ship(files.sparkSession)
+    of = lambda kind: files.where(F.col("format") == kind)
+    plain = decoded(F.col("content"))
+    parts = [
+        of("txt").select("path", "format", plain.alias("text")),
+        of("json").select("path", "format", json_text(plain, keys).alias("text")),
+        of("jsonl").select("path", "format", F.explode(F.split(plain, "\n")).alias("l")).where(F.rlike("l", F.lit(r"(?U)\S"))).select("path", "format", json_text(F.col("l"), keys).alias("text")),
+        of("html").select("path", "format", html_text(plain).alias("text")),
+        of("xml").select("path", "format", xml_text(F.col("content")).alias("text")),
+    ]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out.where("text is not null").withColumn("text", normalized(F.col("text"))).where("text <> ''")
+
+
+def generated(concepts: DataFrame, templates: list[str], each: int, seed: int) -> DataFrame:
+    """(concept, n, text): `each` texts of every concept (concept), from templates with {} chosen by a hash."""
+    rows = concepts.select("concept", F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("n"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), "concept", F.col("n").cast("string"))), 1, 8), 16, 10).cast("long") % len(templates)
+    return rows.select("concept", "n", F.replace(F.element_at(F.array(*[F.lit(t) for t in templates]), (pick + 1).cast("int")), F.lit("{}"), F.col("concept")).alias("text"))
