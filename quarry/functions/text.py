@@ -33,6 +33,11 @@ def count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
 
+def held(text: Column, others: str) -> Column:
+    """How many characters stand in a text but for the class others: what is left without runs of those, so no list of matches is made."""
+    return F.length(F.regexp_replace(text, f"{others}+", ""))
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body of a value that is computed once: a lambda that refers to an expression from outside would compute it for each element."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
+from quarry.session import shared_folder
 
 
 def exact(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -23,13 +23,25 @@ def shingled(docs: DataFrame, n: int = 5) -> DataFrame:
     return docs.select("doc_id", F.explode(F.array_distinct(tx.ngrams(tx.words(F.lower("text")), n))).alias("shingle"))
 
 
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, h, key): the distinct shingles as hashes in order, and a digest of them."""
+    own = docs.select("doc_id", F.sort_array(F.transform(F.array_distinct(tx.ngrams(tx.words(F.lower(F.coalesce("text", F.lit("")))), n)), lambda g: F.xxhash64(g))).alias("h"))
+    return own.withColumn("key", F.sha2(F.array_join(F.transform("h", lambda x: x.cast("string")), ",").cast("binary"), 256))
+
+
+def equal_sets(docs: DataFrame, n: int = 5) -> DataFrame:
+    """(doc_id, representative, key): documents of equal shingle sets belong to the least doc_id among them."""
+    own = _sets(docs, n).select("doc_id", "key")
+    return own.join(own.groupBy("key").agg(F.min("doc_id").alias("representative")), "key").select("doc_id", "representative", "key")
+
+
 def jaccard_pairs(docs: DataFrame, threshold: float = 0.8, n: int = 5) -> DataFrame:
-    """(i, j, jaccard) for all pairs of documents whose shingle sets reach the threshold, exactly, by prefix filtering.
+    """(i, j, jaccard) for all pairs of different shingle sets that reach the threshold, exactly, by prefix filtering; a set is named by its least doc_id.
 
-    Of two sets whose Jaccard is t or more, each has one of the other's shingles among its rarest (1-t)*size+1. Only those are joined, and
-    only pairs whose sizes allow it are verified. Sizes of the sets are those of their distinct shingles.
+    Documents of equal sets are one, so copies make no pairs; equal_sets() tells which they are. Of two sets whose Jaccard is t or more, each has
+    one of the other's shingles among its rarest (1-t)*size+1. Only those are joined, and only pairs whose sizes allow it are verified.
     """
-    sets = shingled(docs, n).withColumn("h", F.xxhash64("shingle")).select("doc_id", "h")
+    sets = _sets(docs, n).groupBy("key").agg(F.min("doc_id").alias("doc_id"), F.any_value("h").alias("h")).select("doc_id", F.explode("h").alias("h"))
     frequency = sets.groupBy("h").agg(F.count("*").alias("df"))
     ranked = sets.join(frequency.where("df > 1"), "h", "left").groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("df", F.lit(1)).alias("df"), "h"))).alias("s"))
     ranked = ranked.withColumn("size", F.size("s"))
@@ -73,21 +85,27 @@ def greedy_near(docs: DataFrame, bands: int = 9, rows: int = 13, n: int = 5) ->
     return state.select("doc_id", (F.col("state") == 1).alias("kept"))
 
 
-def shared_passages(docs: DataFrame, items: DataFrame, n: int = 13) -> DataFrame:
-    """(doc_id, item_id, shared): how many distinct n-word passages a document shares with a benchmark item."""
+def shared_passages(docs: DataFrame, items: DataFrame, n: int = 13, most_rows: int = 2_000_000) -> DataFrame:
+    """(doc_id, item_id, shared): how many distinct n-word passages a document shares with a benchmark item.
+
+    Passages meet by a hash and are then compared word by word. If the items have no more than most_rows passages, they go to all tasks, so that
+    no passage of a document is shuffled; else both sides are.
+    """
 
     def cut(rows: DataFrame, name: str) -> DataFrame:
         own = rows.select(name, tx.words(F.lower("text")).alias("w")).where(F.size("w") >= n)
-        return own.select(name, F.explode(F.array_distinct(tx.ngrams(F.col("w"), n))).alias("x"))
+        return own.select(name, F.explode(F.array_distinct(tx.ngrams(F.col("w"), n))).alias("x")).withColumn("h", F.xxhash64("x"))
 
-    return cut(docs, "doc_id").join(cut(items, "item_id"), "x").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    asked = cut(items, "item_id").withColumnRenamed("x", "y")
+    few = asked.limit(most_rows + 1).count() <= most_rows
+    met = cut(docs, "doc_id").join(F.broadcast(asked) if few else asked, "h").where("x = y")
+    return met.groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
 
 
 def _table(df: DataFrame, name: str) -> DataFrame:
-    """A written table in the shared folder of the cluster, where none is set in a folder of our own."""
+    """A written table in the folder that all executors share."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="quarry-")
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

@@ -20,9 +20,12 @@ BULLET = r"^\s*[-*•▪▸►◆◇→‣⁃]"
 ELLIPSIS = r"\.{3,}|…"
 LINK = r"(?i)https?://\S+"
 SPAM = (
-    "bitcoin gratis", "casino", "cialis", "clicca qui per vincere", "congratulazioni hai vinto", "dimagrire velocemente", "eredità milionaria",
-    "forex trading", "guadagna subito", "lavoro da casa facile", "offerta esclusiva", "prestito immediato", "principe nigeriano",
-    "scommesse online", "slot machine", "trading automatico", "viagra",
+    "casino", "slot machine", "scommesse online", "viagra",
+    "cialis", "forex trading", "guadagna subito",
+    "lavoro da casa facile", "bitcoin gratis", "trading automatico",
+    "prestito immediato", "dimagrire velocemente", "offerta esclusiva",
+    "clicca qui per vincere", "congratulazioni hai vinto",
+    "eredità milionaria", "principe nigeriano",
 )
 #: Personal data in the order in which they are replaced, by name, pattern and mark.
 PERSONAL = (
@@ -60,16 +63,16 @@ def measured(docs: DataFrame) -> DataFrame:
     cut = docs.withColumns({"_text": body, "_words": tx.words(body), "_lines": tx.lines(body), "_paragraphs": tx.paragraphs(body)})
     n, text = F.size("_words"), F.col("_text")
     per_word = lambda x: F.when(n > 0, x / n).otherwise(0.0)
-    letters = tx.count(text, r"\p{L}")
+    letters = tx.held(text, r"\P{L}")
     measures = {
         "chars": F.length("_text"),
         "words": n,
-        "uppercase": F.when(letters > 0, tx.count(text, r"\p{Lu}") / letters),
-        "special": F.when(F.length("_text") > 0, tx.count(text, r"(?U)[^\p{L}\p{N}\s]") / F.length("_text")).otherwise(0.0),
+        "uppercase": F.when(letters > 0, tx.held(text, r"\P{Lu}") / letters),
+        "special": F.when(F.length("_text") > 0, tx.held(text, r"(?U)[\p{L}\p{N}\s]") / F.length("_text")).otherwise(0.0),
         "word_length": per_word(F.length(F.array_join("_words", ""))),
         "line_repeats": tx.repeated_share(F.col("_lines")),
         "paragraph_repeats": F.when(F.size("_paragraphs") >= 2, tx.repeated_share(F.col("_paragraphs"))).otherwise(0.0),
-        "boilerplate": tx.share(F.col("_lines"), BOILERPLATE),
+        "boilerplate": F.when(F.regexp_like(text, F.lit(BOILERPLATE)), tx.share(F.col("_lines"), BOILERPLATE)).otherwise(0.0),  # lines are looked at only where the text has any
         "bullets": tx.share(F.col("_lines"), BULLET),
         "ellipses": per_word(tx.count(text, ELLIPSIS)),
         "links": tx.count(text, LINK) / F.greatest(n, F.lit(1)),
@@ -103,6 +106,13 @@ def domains(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(LINK), F.lit(0)), lambda u: F.lower(F.split(F.split(u, "/")[2], ":")[0]))
 
 
+def from_blocked(rows: DataFrame, text: str, blocked: DataFrame) -> DataFrame:
+    """rows whose text has a link to a host of blocked (domain): a semi join, so the list may be of any length."""
+    own = rows.withColumn("_n", F.monotonically_increasing_id())
+    hit = own.select("_n", F.explode(F.array_distinct(domains(F.col(text)))).alias("domain")).join(blocked.select("domain"), "domain", "left_semi").select("_n").distinct()
+    return own.join(hit, "_n", "left_semi").drop("_n")
+
+
 def spam_reason(text: Column, links: Column, blocked: tuple[str, ...] = (), keywords: tuple[str, ...] = SPAM, most: float = 0.10) -> Column:
     """link density, then blocked domains, then keywords in the lower-case text; the first keyword in the alphabet is named."""
     tests = [F.when(links > most, F.lit("url_density"))]

@@ -102,14 +102,27 @@ def spam_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("doc_id", quality.spam_reason(F.col("text"), F.col("m.links")).alias("reason"))
 
 
-@query(
-    "select domain, count(*) as n from (select lower(split_part(split_part(u, '/', 3), ':', 1)) as domain from (select unnest(regexp_extract_all(html, '(?i)https?://\\S+')) as u from pages)) group by domain"
-)
+_LINKED = "with u as (select page_id, unnest(regexp_extract_all(url || ' ' || html, '(?i)https?://\\S+')) as u from pages), d as (select page_id, lower(split_part(split_part(u, '/', 3), ':', 1)) as domain from u) "
+
+
+def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.concat_ws(" ", "url", "html").alias("text"))
+
+
+@query(_LINKED + "select domain, count(*) as n from d group by domain")
 def link_domains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    links = table(spark, sf_dir, "pages").select(F.explode(quality.domains(F.col("html"))).alias("domain"))
+    links = _linked(spark, sf_dir).select(F.explode(quality.domains(F.col("text"))).alias("domain"))
     return links.groupBy("domain").agg(F.count("*").alias("n"))
 
 
+@query(_LINKED + "select distinct page_id from d where domain in (select domain from d group by domain having min(page_id) % 3 = 0)")
+def blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a link to a host on a list, here the hosts whose first page has a number divisible by three."""
+    pages = _linked(spark, sf_dir)
+    hosts = pages.select("page_id", F.explode(quality.domains(F.col("text"))).alias("domain")).groupBy("domain").agg(F.min("page_id").alias("first")).where("first % 3 = 0")
+    return quality.from_blocked(pages, "text", hosts).select("page_id")
+
+
 @query()
 def pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", quality.redacted(F.col("text")).alias("text"))
@@ -158,8 +171,11 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SHINGLES = (
-    "with s as (select doc_id, list_distinct(case when len(w) = 0 then [] else list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) end) as g "
-    "from (select doc_id, " + _W.format("lower(text)") + " as w from documents)), e as (select doc_id, len(g) as n, unnest(g) as x from s), "
+    "with s as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] else list_transform(generate_series(1, greatest(len(w) - 4, 1)), lambda i: array_to_string(list_slice(w, i, i + 4), ' ')) end)) as g "
+    "from (select doc_id, " + _W.format("lower(text)") + " as w from documents)), r as (select doc_id, min(doc_id) over (partition by g) as first, g from s) "
+)
+_PAIRS = _SHINGLES + (
+    ", e as (select doc_id, len(g) as n, unnest(g) as x from r where doc_id = first), "
     "p as (select a.doc_id as i, b.doc_id as j, any_value(a.n) as m, any_value(b.n) as n, count(*) as c from e a join e b on a.x = b.x and a.doc_id < b.doc_id group by 1, 2) "
     "select i, j, round(c / (m + n - c), 6) as jaccard from p where c / (m + n - c) >= 0.8"
 )
@@ -170,11 +186,16 @@ def near_dedup_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.greedy_near(table(spark, sf_dir, "documents"))
 
 
-@query(_SHINGLES)
+@query(_PAIRS)
 def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.jaccard_pairs(table(spark, sf_dir, "documents"))
 
 
+@query(_SHINGLES + "select doc_id, first as representative from r")
+def jaccard_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup.equal_sets(table(spark, sf_dir, "documents")).select("doc_id", "representative")
+
+
 @query("select doc_id, kept from (select doc_id, row_number() over (partition by text order by doc_id) = 1 as kept from documents)")
 def exact_dedup_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")

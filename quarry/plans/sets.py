@@ -100,13 +100,16 @@ def system_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "select count(*) as vectors, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as sd, round(min(x), 6) as least, round(max(x), 6) as most, sum(case when x is null or not isfinite(x) then 1 else 0 end)::bigint as bad "
-    "from (select unnest(embedding)::double as x from embeddings)"
+    "select count(*) as components, round(avg(x), 6) as mean, round(stddev_pop(x), 6) as sd, round(min(x), 6) as least, round(max(x), 6) as most, sum(case when x is null or not isfinite(x) then 1 else 0 end)::bigint as bad, "
+    "(select count(*) from embeddings) as vectors, (select count(*) from embeddings where len(list_filter(embedding, lambda x: x <> 0)) = 0) as zeros from (select unnest(embedding)::double as x from embeddings)"
 )
 def embedding_health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = table(spark, sf_dir, "embeddings").select(F.explode(F.col("embedding").cast("array<double>")).alias("x"))
+    rows = table(spark, sf_dir, "embeddings").select(F.col("embedding").cast("array<double>").alias("e"))
+    x = rows.select(F.explode("e").alias("x"))
     bad = F.count_if(F.col("x").isNull() | F.isnan("x") | (F.abs("x") == float("inf")))
-    return x.agg(F.count("*").alias("vectors"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"), F.round(F.min("x"), 6).alias("least"), F.round(F.max("x"), 6).alias("most"), bad.alias("bad"))
+    of_components = x.agg(F.count("*").alias("components"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_pop("x"), 6).alias("sd"), F.round(F.min("x"), 6).alias("least"), F.round(F.max("x"), 6).alias("most"), bad.alias("bad"))
+    of_rows = rows.agg(F.count("*").alias("vectors"), F.count_if(~F.exists("e", lambda y: F.coalesce(y != 0, F.lit(False)))).alias("zeros"))
+    return of_components.crossJoin(of_rows)  # single rows
 
 
 @query(

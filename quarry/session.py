@@ -3,12 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import zipfile
 
 from pyspark.sql import SparkSession
 
 
+_OWN: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's spark.checkpoint.dir; a folder of our own only where none is set and the master is local, as in tests."""
+    if found := spark.conf.get("spark.checkpoint.dir", None):
+        return found.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append("file://" + tempfile.mkdtemp(prefix="quarry-"))
+    return _OWN[0]
+
+
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors, once for each application, so that their Python workers can import it."""
     context = spark.sparkContext
