@@ -123,7 +123,19 @@ def blocked_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.from_blocked(pages, "text", hosts).select("page_id")
 
 
-@query()
+def _redacted(t: str) -> str:
+    """The redaction in SQL: what stands around a telephone number is captured, twice over, as neighbours share it."""
+    for name, pattern, mark in quality.PERSONAL:
+        if name == "phone":
+            inner = pattern.removeprefix(r"(?<!\d)").removesuffix(r"(?!\d)")
+            for _ in range(2):
+                t = f"regexp_replace({t}, '(^|[^0-9])(?:{inner})([^0-9]|$)', '\\1{mark}\\2', 'g')"
+        else:
+            t = f"regexp_replace({t}, '{pattern}', '{mark}', 'g')"
+    return t
+
+
+@query(f"select doc_id, {_redacted('text')} as text from documents")
 def pii_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", quality.redacted(F.col("text")).alias("text"))
 
@@ -137,17 +149,24 @@ def email_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", (tx.count(after, "<EMAIL>") - tx.count(F.col("text"), "<EMAIL>")).cast("long").alias("n_email"))
 
 
-@query()
+@query(f"with r as (select doc_id, text, {_redacted('text')} as r from documents) select doc_id, " + ", ".join(f"(len(regexp_extract_all(r, '{mark}')) - len(regexp_extract_all(text, '{mark}')))::int as n_{name}" for name, _, mark in quality.PERSONAL) + " from r")
 def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *quality.personal_counts(F.col("text")))
 
 
-@query()
+_CHAIN = (
+    f"with docs as (select doc_id, source, lang, {_redacted("coalesce(text, '')")} as text from documents), reps as ({_REPEATS.replace('round(', '(').replace(', 6) as repetition', ') as repetition')}), " + _MEASURES.strip()
+    + f", v as (select doc_id, case when repetition > 0.2 then 'repetition' end as a, reason as b, case when links > 0.1 then 'url_density' {_KEYWORDS} end as c from q join reps using (doc_id)), "
+    "chain as (select doc_id, case when a is not null then 'repetition' when b is not null then 'quality' when c is not null then 'spam' end as filter, coalesce(a, b, c) as reason from v) "
+)
+
+
+@query(_CHAIN + "select doc_id, filter, reason, filter is null as kept from chain")
 def filter_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(table(spark, sf_dir, "documents")).select("doc_id", "filter", "reason", "kept")
 
 
-@query()
+@query(_CHAIN + "select filter, reason, count(*) as n, round(count(*) / sum(count(*)) over (), 6) as share from chain group by filter, reason")
 def filter_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality.verdicts(table(spark, sf_dir, "documents")).groupBy("filter", "reason").agg(F.count("*").alias("n"))
     return found.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
@@ -203,20 +222,56 @@ def exact_dedup_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(first, "doc_id", "left").select("doc_id", F.coalesce("first", F.lit(False)).alias("kept"))
 
 
-@query()
+_HEADS = r"Articol[oi]\s+\d|Capitolo\s+[IVXLCDM\d]|Sezione\s+\d|CAPO\s+[IVXLCDM]|Allegat[oi]\s+[IVXLCDMA-Z\d]|Tabella\s+[IVXLCDM\d]|TITOLO\s+[IVXLCDM]|PARTE\s+[IVXLCDM]"
+_STRIP = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
+_JOIN = r"regexp_replace({0}, '([^.!?;:\s])[ \t\r\f\v]*\n[ \t\r\f\v]*([^\s])', '\1 \2', 'g')"
+_ANY = lambda pattern: pattern.replace("(?U)", "").replace("(?iU)", "(?i)").replace(r"\w", r"[\p{L}\p{M}\p{N}_]").replace("'", "''")
+
+
+def _share(test: str) -> str:
+    return f"len(list_filter(l, lambda x: {test})) / k"
+
+
+_PROSE = (
+    "with recursive t as (select doc_id, regexp_replace(coalesce(text, ''), '\\n(" + _HEADS + ")', chr(1) || '\\1', 'gi') as t from documents), "
+    "s as (select doc_id, list_filter(list_transform(regexp_split_to_array(t, '\\n\\s*\\n|\\x01'), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '') as c from t), "
+    "z as (select doc_id, c, i, len(" + _W.format("c[i]") + ") as n from (select doc_id, c, unnest(range(1, len(c) + 1)) as i from s)), "
+    "f as (select doc_id, i, 0::bigint as ix, n as held from z where i = 1 union all "
+    "select z.doc_id, z.i, f.ix + case when full_ then 1 else 0 end, case when full_ then z.n else f.held + z.n end from f join z on z.doc_id = f.doc_id and z.i = f.i + 1, "
+    "lateral (select (f.held >= 15 and z.n >= 15) or (f.held >= 45 and z.n < 15) as full_)), "
+    "h as (select doc_id, ix, string_agg(c[i], chr(10) || chr(10) order by i) as chunk from f join z using (doc_id, i) group by doc_id, ix), "
+    "w as (select doc_id, ix, chunk, " + _W.format("chunk") + " as w, list_filter(list_transform(string_split(" + _JOIN.format(_JOIN.format("chunk")) + ", chr(10)), lambda x: " + _STRIP.format("x") + "), lambda x: x <> '') as l from h), "
+    "m as (select *, len(w) as n, greatest(len(l), 1) as k from w), "
+    "e as (select *, case when n < 15 or length(chunk) < 80 then 'too_short' when n >= 30 then case "
+    "when len(list_distinct(list_filter(list_transform(w, lambda x: trim(lower(x), '.,;:()\"' || chr(39))), lambda x: length(x) > 1))) / n < 0.40 then 'word_salad_unique' "
+    "when len(list_filter(list_zip(list_slice(w, 1, -2), list_slice(w, 2, -1)), lambda z: lower(z[1]) = lower(z[2]))) / n > 0.20 then 'word_salad_consec' "
+    f"when len(regexp_extract_all(chunk, '{prose.TYPE_CODE}')) >= 3 then 'form_spec_dtypes' end end as early, "
+    f"len(list_filter(w, lambda x: regexp_matches(x, '{prose.NUMBER_WORD}'))) / n as numbers, "
+    "case when len(regexp_extract_all(chunk, '\\p{L}')) > 0 then len(regexp_extract_all(chunk, '\\p{Nd}')) / len(regexp_extract_all(chunk, '\\p{L}')) when len(regexp_extract_all(chunk, '\\p{Nd}')) > 0 then 1.0 else 0.0 end as digits, "
+    f"{_share(f"regexp_matches(x, '{_ANY(prose.TABLE_LINE)}')")} + {_share(f"regexp_matches(x, '{_ANY(prose.NUMBER_LINE)}')")} as tabular, "
+    f"coalesce(list_sum(list_transform(l, lambda x: length(x))), 0) / k as mean, coalesce(list_sum(list_transform(l, lambda x: case when regexp_matches(x, '[.!?;:]$') then 1.0 when regexp_matches(x, '[,)]$') then 0.5 else 0.0 end)), 0) / k as sentences, "
+    f"{_share('length(x) < 40')} as short, {_share(f'len({_W.format("x")}) <= 3')} as orphans, "
+    f"{_share(f"length(array_to_string(regexp_extract_all(x, '{_ANY(prose.CITATION)}'), '')) / greatest(length(x), 1) > 0.30")} as refs, len(regexp_extract_all(chunk, '{prose.NOTE}')) / n as notes from m), "
+    "v as (select doc_id, ix, chunk, case when early is not null then [early] else list_filter([case when numbers > 0.50 then 'num_words' end, case when tabular > 0.30 then 'tabular' end], lambda x: x is not null) end as hard, "
+    "case when early is not null then [] else list_filter([case when digits > 0.15 then 'digit_ratio' end, case when numbers > 0.25 and numbers <= 0.50 then 'num_words' end, case when short > 0.50 then 'short_lines' end, "
+    "case when mean < 40 then 'mean_line_len' end, case when sentences < 0.30 then 'no_sentences' end, case when orphans > 0.40 then 'orphans' end, case when refs > 0.40 then 'refs' end, case when notes > 0.25 then 'parens' end], lambda x: x is not null) end as soft from e) "
+)
+
+
+@query(_PROSE + "select doc_id, ix::int as chunk_ix, hard, soft, len(hard) = 0 and len(soft) < 2 as is_prose from v")
 def prose_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prose.chunk_verdicts(table(spark, sf_dir, "documents"))
 
 
-@query()
-def prose_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose.prose_text(table(spark, sf_dir, "documents"))
+_FLAT = r"regexp_replace(regexp_replace(regexp_replace({0}, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g')"
 
 
-_FLAT = r"regexp_replace(regexp_replace(regexp_replace(text, '\r\n?', chr(10), 'g'), '[ \t]+(\n|$)', '\1', 'g'), '\n{3,}', chr(10) || chr(10), 'g')"
+@query(_PROSE + ", p as (select doc_id, string_agg(chunk, chr(10) || chr(10) order by ix) as text from v where len(hard) = 0 and len(soft) < 2 group by doc_id) select doc_id, " + _STRIP.format(_FLAT.format("text")) + " as text from p")
+def prose_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prose.prose_text(table(spark, sf_dir, "documents"))
 
 
-@query(rf"select doc_id, regexp_replace({_FLAT}, '^\s+|\s+$', '', 'g') as text from documents")
+@query("select doc_id, " + _STRIP.format(_FLAT.format("text")) + " as text from documents")
 def flatten_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", prose.flattened(F.col("text")).alias("text"))
 
