@@ -2,14 +2,16 @@
 
 import gzip
 import io
+import json
 import math
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import cleaning, metrics
-from quarry.sources import files, sinks
+from quarry.operators import analytics, cleaning, metrics, tokens, training
+from quarry.sources import files, notices, sinks
 from quarry.streaming import incremental
 
 
@@ -38,9 +40,9 @@ def test_archives(spark):
     with zipfile.ZipFile(inner, "w") as z:
         z.writestr("ok.txt", "hello")
         z.writestr("../out.txt", "no")
-    rows = [("p.gz", gzip.compress(inner.getvalue())), ("plain", b"x"), ("none", None)]
+    rows = [("p.gz", gzip.compress(inner.getvalue())), ("plain", b"x"), ("none", None), ("cut.gz", gzip.compress(b"y" * 5000)[:-20]), ("bad.zip", b"PK\x03\x04nothing")]
     found = files.members(spark.createDataFrame(rows, "path string, content binary"))
-    assert sorted((r.path, bytes(r.content)) for r in found.collect()) == [("p/ok.txt", b"hello"), ("plain", b"x")]
+    assert sorted((r.path, r.content and bytes(r.content)) for r in found.collect()) == [("bad.zip", None), ("cut.gz", None), ("p/ok.txt", b"hello"), ("plain", b"x")]
 
 
 def test_xml_months_lists(spark):
@@ -98,3 +100,80 @@ def test_choices_and_preferences(spark):
     assert (r.n, r.whole, r.per_char) == (2, 0.5, 1.0)
     r = metrics.preferences(spark.createDataFrame([(1, -1.0, -2.0), (1, -3.0, -2.0), (2, -1.0, -4.0)], "batch int, chosen double, rejected double")).first()
     assert (r.accuracy, r.margin) == (0.75, 1.5)
+
+
+def test_readers(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"prompt": "p", "response": "r"}]))
+    (tmp_path / "b.json").write_text(json.dumps({"x": [{"prompt": "1", "response": "2"}], "y": [{"prompt": "3", "response": None}]}))
+    assert [tuple(r) for r in files.prompt_rows(spark, str(tmp_path / "a.json")).collect()] == [("p", "r")]
+    assert [tuple(r) for r in files.prompt_rows(spark, str(tmp_path / "b.json")).collect()] == [("1", "2"), ("3", None)]
+    (tmp_path / "c.jsonl").write_text('{"id": 1, "gold": "{\\"a\\": 0.5}"}\n\n{"id": 2, "gold": null}\n')
+    assert files.lines_read(spark, str(tmp_path / "c.jsonl")).count() == 2
+    found = {r.id: r.gold for r in files.cases(spark, str(tmp_path / "c.jsonl"), {"gold": "map<string,double>"}).collect()}
+    assert found == {1: {"a": 0.5}, 2: None}
+    spark.range(3).write.parquet(str(tmp_path / "d.parquet"))
+    assert files.cases(spark, str(tmp_path / "d.parquet")).count() == 3
+
+
+def test_notice_forms(spark):
+    latin = "*** H ***\n\n1.00/1\nTI: Citt\u00e0: lavori\n  pubblici\nTX: uno\n due\n\n1.00/2\nND: 7\nAB: x\n\n1.00/3\nNO: nothing".encode("latin-1")
+    rows = spark.createDataFrame([("a/IT_1.ISO", latin), ("b/none", b"")], "path string, content binary")
+    found = sorted(tuple(r) for r in notices.legacy_notices(rows).collect())
+    assert found == [("7", "", "x", "", "a/IT_1.ISO"), ("IT_1", "Citt\u00e0: lavori\npubblici", "", "uno\ndue", "a/IT_1.ISO")]
+    assert [one(spark, notices.sniffed(F.col("text")), x, "binary") for x in (b"<?xml?>", b"x\n12.3/4", b"TI: a", b"no")] == ["xml", "txt", "txt", None]
+    assert notices.xml_notices(spark.createDataFrame([("x.xml", b"<a"), ("y.xml", b"<a LG='EN'>an English text of some length</a>")], "path string, content binary")).count() == 0
+    assert one(spark, notices.notice_document(F.col("text"), F.lit(""), F.lit("b")), "a") == "a\n\nb"
+
+
+def test_token_shards(spark):
+    docs = spark.createDataFrame([([1, 2, 3],), ([],), (None,), ([70_000],), (list(range(100)),)], "ids array<long>").coalesce(1)
+    shards = sinks.token_shards(docs, 40, begin=9, end=8).cache()
+    assert [(r.tokens, r.bytes) for r in shards.orderBy("shard").collect()] == [(10, 40), (102, 408)]
+    read = sinks.shard_tokens(shards, rows=50).orderBy("shard", "first").collect()
+    assert [x for r in read for x in r.ids] == [9, 1, 2, 3, 8, 9, 8, 9, 70_000, 8, 9, *range(100), 8]
+    with pytest.raises(Exception, match="does not fit"):
+        sinks.token_shards(docs, 40, wide=False).collect()
+    with pytest.raises(Exception, match="not what was written"):
+        sinks.shard_tokens(shards.withColumn("content", F.lit(b"1234"))).collect()
+
+
+def test_written_forms(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 'q"x\ny'), ("b", None)], "k string, v string")
+    sinks.write_json(rows, str(tmp_path / "j"))
+    assert sorted(json.loads(r.value)["k"] for r in spark.read.text(str(tmp_path / "j")).collect()) == ["a", "b"]
+    sinks.write_csv(rows, str(tmp_path / "c"))
+    assert spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(str(tmp_path / "c")).where("k = 'a'").first().v == 'q"x\ny'
+    made = []
+    work = lambda x: made.append(1) or x
+    for _ in range(2):
+        assert sinks.cached(rows, str(tmp_path / "cache"), "h1", work).count() == 2
+    assert made == [1]
+    assert [r.value for r in sinks.marked_documents(rows, "v").collect()] == ['<bos>\nq"x\ny\n<eos>\n\n']
+
+
+def test_temperature(spark):
+    pick = np.random.default_rng(1)
+    logits = pick.standard_normal((400, 3)) * 3
+    shares = np.exp(logits / 2.5)
+    shares /= shares.sum(axis=1, keepdims=True)
+    rows = spark.createDataFrame([(a.tolist(), b.tolist()) for a, b in zip(logits, shares, strict=True)], "logits array<double>, target array<double>")
+    assert analytics.best_temperature(rows) == pytest.approx(2.5, rel=1e-3)
+    assert analytics.best_temperature(rows.limit(0)) == 1.0
+
+
+def test_specifications(spark):
+    assert analytics.mix_spec("a/b=0.5, c=x=2 ,") == [("a/b", 0.5), ("c=x", 2.0)]
+    for wrong in ("a", "a=0", "=1", "a=1,a=2"):
+        with pytest.raises(ValueError):
+            analytics.mix_spec(wrong)
+    old = spark.createDataFrame([("f", 1, "c", 9)], "folder string, seed int, content string, base long")
+    with pytest.raises(Exception, match="have changed"):
+        analytics.carried(old, spark.createDataFrame([("f", 2, "c")], "folder string, seed int, content string"), ("seed",)).collect()
+    assert sum(tokens.merge_weights(10, "1sqrt")) == pytest.approx(1) and tokens.merge_weights(4) == [0.25] * 4
+    with pytest.raises(Exception, match="longer than the budget"):
+        training.budget_batches(spark.createDataFrame([(0, 9)], "place long, n int"), "n", "place", 8).collect()
+
+
+def test_flops(spark):
+    terms = spark.createDataFrame([(1, 0, 2.0), (2, 0, 4.0), (2, 1, 1.0)], "id int, term int, weight double")
+    assert metrics.flops_penalty(terms, 2).first().penalty == pytest.approx(9 + 0.25)
