@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quarry.session import ship
 
 
-def chunked(docs: DataFrame, most_bytes: int, text: str = "text") -> DataFrame:
-    """(chunk, value): documents as <bos>text<eos>, in chunks that start anew when the next line would pass most_bytes; a larger one stands alone.
+def chunked(docs: DataFrame, most_bytes: int, text: str = "text", marks: bool = True) -> DataFrame:
+    """(chunk, value): documents as <bos>text<eos>, or without these marks, in chunks that start anew when the next line would pass most_bytes; a larger one stands alone.
 
     Chunks are filled within a partition, in its order, and numbered by partition; null texts are dropped.
     """
@@ -32,7 +32,7 @@ def chunked(docs: DataFrame, most_bytes: int, text: str = "text") -> DataFrame:
                 chunks.append(chunk)
             yield pa.RecordBatch.from_arrays([pa.array(chunks, pa.int64()), batch.column("value")], ["chunk", "value"])
 
-    value = F.concat(F.lit("<bos>"), F.col(text), F.lit("<eos>"))
+    value = F.concat(F.lit("<bos>"), F.col(text), F.lit("<eos>")) if marks else F.col(text)
     rows = docs.where(F.col(text).isNotNull()).select(value.alias("value")).select("value", (F.octet_length("value") + 1).cast("long").alias("n"))
     return rows.mapInArrow(run, "chunk long, value string")
 

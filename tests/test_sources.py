@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.operators import analytics, cleaning, metrics, tokens, training
+from quarry.operators import analytics, cleaning, gates, metrics, tokens, training
 from quarry.sources import files, notices, sinks
 from quarry.streaming import incremental
 
@@ -177,3 +177,23 @@ def test_specifications(spark):
 def test_flops(spark):
     terms = spark.createDataFrame([(1, 0, 2.0), (2, 0, 4.0), (2, 1, 1.0)], "id int, term int, weight double")
     assert metrics.flops_penalty(terms, 2).first().penalty == pytest.approx(9 + 0.25)
+
+
+def test_pages(spark):
+    words = lambda k: " ".join(f"word{k}x{i}" for i in range(30))
+    rows = [("a", k, f"Head {k}\n{words(k)}\nELI: http://data.europa.eu/eli/r\nmore {words(k)} of page\nfoot") for k in range(4)]
+    rows += [("a", 9, "an..35 n1 9x " * 10), ("b", 0, "an..35 n1 9x " * 10), ("c", 0, None), ("c", 1, "x")]
+    found = {r.path: r.text for r in gates.paged_documents(spark.createDataFrame(rows, "path string, page int, text string")).collect()}
+    assert found.keys() == {"a", "c"} and found["c"] == "x"
+    assert found["a"] == "\n\n".join(f"{words(k)}\nr\nmore {words(k)} of page" for k in range(4))
+
+
+def test_entities(spark):
+    docs = spark.createDataFrame([(1, "Anna 😀 lives in Rome"), (2, "nobody"), (3, None)], "doc_id long, text string")
+    entities = spark.createDataFrame([(1, 0, 4, "PERSON", 0.9), (1, 2, 6, "LOCATION", 0.9), (1, 16, 20, "LOCATION", 0.5), (1, 5, 6, "DATE_TIME", 0.1)], "doc_id long, start int, end int, label string, score double")
+    assert sorted((r.doc_id, r.text) for r in gates.entities_redacted(docs, entities).collect()) == [(1, "<PERSONA> 😀 lives in <LUOGO>"), (2, "nobody"), (3, None)]
+
+
+def test_gates(spark):
+    assert [one(spark, gates.perplexity_gate(F.col("text")), x, "double") for x in (4.9, 5.0, 1500.5, None)] == ["low_perplexity", None, "high_perplexity", None]
+    assert gates.unigram_perplexity(spark.createDataFrame([(1, "a b"), (2, None), (3, "")], "doc_id long, text string")).where("perplexity is null").count() == 2
