@@ -232,6 +232,12 @@ def options_ordered(options: DataFrame) -> DataFrame:
     return held.select("case", "question", "kind", F.when(scored, by_number).when(F.col("kind") == "noul", by_false).otherwise(keys).alias("keys"))
 
 
+def options_shuffled(keys: Column, case: Column, seed: int) -> Column:
+    """The keys in an order by the MD5 of seed, case and key, so that where an option stands tells nothing; of equal keys the first stays first."""
+    marked = F.transform(keys, lambda k, i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), case.cast("string"), k).cast("binary")).alias("h"), i.alias("i"), k.alias("k")))
+    return F.transform(F.array_sort(marked), lambda x: x["k"])
+
+
 def targets(given: Column, keys: Column, label: Column) -> Column:
     """The share of each key: given ones (a map), or all on the label where given is null, divided by their sum; equal shares if that is 0."""
     raw = F.transform(keys, lambda k: F.when(given.isNotNull(), F.coalesce(F.try_element_at(given, k), F.lit(0.0))).otherwise((k == label).cast("double")))

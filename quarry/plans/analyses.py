@@ -263,6 +263,12 @@ def ordered_options(spark: SparkSession, sf_dir: str) -> DataFrame:
     return an.options_ordered(options)
 
 
+@query("select event_id, list_transform(list_sort(list_transform(['a', 'b', 'c', 'd'], lambda k: {'h': md5('6:' || event_id || ':' || k), 'k': k})), lambda x: x.k) as keys from events")
+def shuffled_options(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = F.array(*[F.lit(k) for k in "abcd"])
+    return table(spark, sf_dir, "events").select("event_id", an.options_shuffled(keys, F.col("event_id"), 6).alias("keys"))
+
+
 @query()
 def fitted_temperature(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The temperature that makes the shares of _decided(), as logits three times too sharp, fit their targets best."""
