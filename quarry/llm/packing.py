@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from array import array
@@ -61,7 +62,7 @@ class WordBpe:
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
         self.merge = self.library.model.tokenize
-        self.vocabulary = self.library.get_vocab_size()
+        self.vocabulary = _vocabulary(path)
         self.width, self.code = ("<u4", "I") if self.vocabulary > 1 << 16 else ("<u2", "H")
         self.chunks = _Kept(self._chunk, kept, kept_chars)
 
@@ -186,8 +187,8 @@ def _frequencies(tokens: DataFrame, vocabulary: int) -> tuple[np.ndarray, int, f
         yield pa.RecordBatch.from_arrays([pa.array(has), pa.array(sums[has])], ["term", "n"])
 
     sums = np.zeros(vocabulary + 2, np.int64)
-    for term, n in tokens.where("kind = 1").select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).toPandas().itertuples(index=False):
-        sums[term] = n
+    found = tokens.where("kind = 1").select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    sums[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return sums[:-2], int(sums[-2]), sums[-1] / max(sums[-2], 1)
 
 
@@ -280,6 +281,13 @@ def pack_shard(docs: list[np.ndarray], idf: np.ndarray, mean: float, capacity: i
             start, n, room, offset, used = start + cut, n - cut, room - cut, offset + cut, used - cut
 
 
+def _vocabulary(path: str) -> int:
+    """How many ids a tokenizers file has; the driver needs no more of it."""
+    with open(path, encoding="utf-8") as file:
+        held = json.load(file)
+    return 1 + max([*held["model"]["vocab"].values(), *(x["id"] for x in held.get("added_tokens", []))])
+
+
 def packed(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, shard_docs: int = 2048, shard_tokens: int = 4_000_000, most_parts: int = 100_000) -> DataFrame:
     """(doc_id, start, length, ids, doc_tokens, sequence_id, offset), a row for each piece of each row of docs (doc_id, text).
 
@@ -291,11 +299,9 @@ def packed(docs: DataFrame, path: str, end_id: int = 2, capacity: int = 4096, sh
     is not its neighbour. Repeated rows are packed each; a null doc_id keeps its pieces; a text of any length is cut over as
     many windows as it needs; an empty table gives no rows. capacity must be a power of two.
     """
-    from tokenizers import Tokenizer
-
     if capacity & (capacity - 1):
         raise ValueError("capacity must be a power of two")
-    vocabulary = max(Tokenizer.from_file(path).get_vocab_size(), end_id + 1)
+    vocabulary = max(_vocabulary(path), end_id + 1)
     width = "<u2" if vocabulary <= 1 << 16 else "<u4"
     tokens = written(tokenized(docs, path, end_id), "tokens")
     df, count, mean = _frequencies(tokens, vocabulary)

@@ -164,6 +164,21 @@ def test_embeddings_in_a_cone(spark):
     assert 0.95 * links <= found <= links
 
 
+def test_embeddings_dense_group(spark):
+    """A group of many more vectors than a window holds, beside scattered ones and copies: links are counted, none is made up, and the group is one component."""
+    pick = np.random.default_rng(5)
+    ball = pick.standard_normal(16) + 0.03 * pick.standard_normal((900, 16))
+    far = pick.standard_normal((300, 16))
+    every = np.concatenate((far[:150], ball, far[150:], ball[:20]))
+    table = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(every)], "vec_id long, embedding array<double>").repartition(7)
+    units = every / np.linalg.norm(every, axis=1, keepdims=True)
+    links = (units @ units.T >= 0.95).sum(axis=1) - 1
+    found = {r.vec_id: r for r in embeddings.near_duplicates(table, tile_rows=64).collect()}
+    own = np.array([found[k].n_links for k in range(len(every))])
+    assert (own <= links).all() and own.sum() >= 0.95 * links.sum()
+    assert {found[k].component_id for k in range(150, 1050)} == {150} and found[150].kept and not found[1200].kept
+
+
 def _base(text):
     kinds = [(re.compile(secrets.BASE["assign"][0], re.A), 2, 6), (re.compile("AKIA[A-Z0-9]+"), 0, 20), (re.compile("[0-9a-f]+"), 0, 24)]
     return sorted((m.start(), k, m.end()) for k, (p, group, least) in enumerate(kinds) for m in p.finditer(text or "") if len(m[group]) >= least)
