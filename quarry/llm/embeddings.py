@@ -337,7 +337,7 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, tile_rows: int =
     Links are counted where they are found, not listed: a pair counts in the first pass that compared it, which both rows know from
     the tiles they lay in. Codes are of the vectors less the corpus mean; cosines are those of the vectors as they are. Passes are as
     many as passes_needed() says, least_passes at least, and go on until the share `recall` of made pairs just at the threshold has met, as vectors that
-    share a direction need more. Vectors that have as many links as a tile has rows may lie in a group that no window holds: they
+    share a direction need more; where all vectors are two tiles, one pass compares all. Vectors that have as many links as a tile has rows may lie in a group that no window holds: they
     alone are sorted anew by further planes until that share of the true links of 64 of them has been compared.
 
     Equal vectors are one point with a count, and are linked without a search. Vectors that are null, empty, zero, or hold a
@@ -356,17 +356,19 @@ def near_duplicates(table: DataFrame, threshold: float = 0.95, tile_rows: int =
     current = points.select("node", "copies", F.size("embedding").alias("width"), "embedding")
     count = points.count()
     found: list[DataFrame] = []
-    means, probes, turn, bases = _means(current) if count else {}, _Probes(current, threshold, seed), 0, None
+    means, probes, turn, bases = _means(current) if count else {}, _Probes(current, threshold, seed, 512 if count > 2 * tile_rows else 0), 0, None
 
     def one_pass(ordered: DataFrame, many: int) -> tuple[DataFrame, dict[int, int]]:
         runs, own, total = _runs(ordered, max(spark.sparkContext.defaultParallelism, many // (64 * tile_rows)), tile_rows, kind)
         found.append(_links(runs, own, total, tile_rows, threshold, kind))
         return runs, own
 
-    while count > 1 and (turn < max(least_passes, passes_needed(count, tile_rows, threshold, recall)) or probes.share() < recall):
+    at_once = count <= 2 * tile_rows  # two tiles stand beside each other, so one pass compares all
+    while count > 1 and (turn < (1 if at_once else max(least_passes, passes_needed(count, tile_rows, threshold, recall))) or not at_once and probes.share() < recall):
         before = current if turn else None
         current, bases = one_pass(_ordered(current, seed + turn, means, kind, bases, tile_rows), count)
-        probes.add(current, bases, tile_rows, means, seed + turn)
+        if not at_once:
+            probes.add(current, bases, tile_rows, means, seed + turn)
         turn += 1
         if before is not None:
             drop(before)

@@ -148,6 +148,8 @@ def test_embeddings(spark):
     assert all(found[k].n_links == 0 and found[k].component_id == k and found[k].kept for k in (402, 403, 404, 405, 406))
     assert found[400].component_id == found[401].component_id == found[0].component_id
     assert embeddings.near_duplicates(table.limit(0)).count() == 0
+    whole = {r.vec_id: r.n_links for r in embeddings.near_duplicates(table).collect()}  # two tiles hold all: one pass, nothing missed
+    assert [whole[k] for k, _ in good] == links.tolist()
 
 
 def test_embeddings_in_a_cone(spark):
