@@ -194,6 +194,18 @@ def in_batch_accuracy(scores: DataFrame) -> DataFrame:
 
 
 def first_difference(a: Column, b: Column) -> Column:
-    """Where two texts first differ, from 0; null if they are equal."""
-    ends = F.sequence(F.lit(1), F.greatest(F.length(a), F.length(b), F.lit(1)))
-    return F.when(~a.eqNullSafe(b), let(F.filter(ends, lambda k: F.substring(a, k, F.lit(1)) != F.substring(b, k, F.lit(1))), lambda x: F.try_element_at(x, F.lit(1)) - 1))
+    """Where two texts first differ, from 0; null if they are equal or one is null. Halves are compared and the one that differs is kept, so work is in proportion to the texts."""
+    rest = F.lit(2147483647)
+
+    def half(acc: Column, k: Column) -> Column:
+        n = F.call_function("shiftleft", F.lit(1), k)
+        x, y = (F.left(acc[c], n) for c in "ab")
+        on = F.struct((acc["at"] + n).alias("at"), F.substring(acc["a"], n + 1, rest).alias("a"), F.substring(acc["b"], n + 1, rest).alias("b"))
+        return F.when(x == y, on).otherwise(F.struct(acc["at"].alias("at"), x.alias("a"), y.alias("b")))
+
+    def found(both: Column) -> Column:
+        bits = F.length(F.bin(F.greatest(F.length(both["a"]), F.length(both["b"]))))
+        start = F.struct(F.lit(0).alias("at"), both["a"].alias("a"), both["b"].alias("b"))
+        return F.when(both["a"] != both["b"], F.aggregate(F.sequence(bits - 1, F.lit(0), F.lit(-1)), start, half, lambda acc: acc["at"]))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), found)

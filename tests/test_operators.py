@@ -1,13 +1,14 @@
 """The engine's own operators on hand-computed cases, and queries beside their SQL."""
 
 import random
+import time
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quarry.functions import text as tx
-from quarry.operators import chat, cleaning, dedup, metrics, prose, quality, tokens
+from quarry.operators import chat, cleaning, dedup, metrics, prose, quality, tokens, training
 from quarry.plans import registry
 from quarry.sources import extract
 
@@ -146,3 +147,22 @@ def test_extraction(spark):
     assert one(spark, extract.html_text(F.col("text")), page) == "One & two\nthree"
     assert one(spark, extract.json_text(F.col("text")), '{"a":[{"text":" x "},{"text":["y",{"text":"z"}]}],"text":{"text":"no"}}') == "x\ny\nz"
     assert one(spark, extract.json_text(F.col("text")), "not json") is None
+
+
+def test_first_difference(spark):
+    """Places by definition, and a long text in time that grows with its length (character by character it took minutes)."""
+    pick = random.Random(4)
+    rows = [(None, "a"), ("a", None), (None, None), ("", ""), ("", "a"), ("a", ""), ("é😀b", "é😀c"), ("ab", "abc")]
+    for _ in range(300):
+        own = [pick.choice("ab😀é") for _ in range(pick.choice((1, 2, 3, 7, 8, 9, 33)))]
+        other = own[: pick.randrange(len(own) + 1)] + [pick.choice("ab😀é") for _ in range(pick.randrange(3))] + own[pick.randrange(len(own)) :]
+        rows.append(("".join(own), "".join(other)))
+    long = "é" * 400_000
+    rows += [(long + "a", long + "b"), (long, long)]
+    table = spark.createDataFrame([(k, *row) for k, row in enumerate(rows)], "k long, a string, b string")
+    begun = time.monotonic()
+    found = {r.k: r.place for r in table.select("k", training.first_difference(F.col("a"), F.col("b")).alias("place")).collect()}
+    assert time.monotonic() - begun < 30
+    for k, (a, b) in enumerate(rows):
+        want = None if a is None or b is None or a == b else next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        assert found[k] == want
