@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions import text as tx
 from quarry.operators import analytics as an
 from quarry.operators import tokens
 from quarry.plans.sets import query
@@ -157,7 +158,7 @@ def metadata_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"select doc_id, len(list_filter(w, lambda x: lower(x) in {_names(' '.join(an.ITALIAN))})) > 0 as italian_words, regexp_matches(t, '[.!?;:]') as punctuation, not (upper(t) = t and lower(t) <> t) and len(w) > 3 as casing, len(list_filter(w, lambda x: length(x) > 3)) > len(w) * 0.3 as content_words from w"
 )
 def italian_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.when(F.col("doc_id") % 9 == 0, F.upper("text")).otherwise(F.col("text")).alias("text"))
+    own = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.when(F.col("doc_id") % 9 == 0, tx.simple_upper(F.col("text"))).otherwise(F.col("text")).alias("text"))
     return own.select("doc_id", *an.italian_marks(F.col("text")))
 
 
@@ -170,8 +171,6 @@ _SUSPECT_WORDS = "with d as (select doc_id, list_filter(regexp_split_to_array(te
 )
 def suspicious_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that fewer than three documents hold."""
-    from quarry.functions import text as tx
-
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     words = docs.select("doc_id", F.explode(tx.words(F.col("text"))).alias("w")).select("doc_id", F.lower(F.btrim("w", F.lit(an.EDGES))).alias("word")).distinct()
     return an.suspects(docs, words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 3").select("word"))

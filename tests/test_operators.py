@@ -166,3 +166,16 @@ def test_first_difference(spark):
     for k, (a, b) in enumerate(rows):
         want = None if a is None or b is None or a == b else next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
         assert found[k] == want
+
+
+def test_italian_marks_of_odd_letters(spark, tmp_path):
+    """Letters whose upper case is longer, dotted İ and control characters between words, beside the SQL."""
+    odd = [chr(c) for c in range(0x110000) if len(chr(c).upper()) > 1] + list("ᾈᾘᾨᾼῌῼİıſKςΣµé😀\x1c\x1d\x1e\x1f\x85\xa0\u2028")
+    texts = [t for c in odd for t in (c, f"D{c} {c}L", f"IL{c}XY", f"aß{c} abc{c} ab", f"ABCD{c}E F G HI", f"{c}{c} ab {c}{c}{c} d")]
+    rows = [(9 * k + more, t) for k, t in enumerate(texts) for more in (0, 1)] + [(None, "DAß IL"), (9, None), (0, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    held = duckdb.connect()
+    held.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    df = registry.QUERIES["italian_marks"](spark, str(tmp_path))
+    want = held.sql(f"select {', '.join(df.columns)} from ({registry.ORACLES['italian_marks']})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
