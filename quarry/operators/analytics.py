@@ -349,6 +349,18 @@ def extension_counts(files: DataFrame, path: str) -> DataFrame:
     return files.select(own.alias("extension")).groupBy("extension").agg(F.count("*").alias("files"))
 
 
+def ordered_means(rows: DataFrame, by: tuple[str, ...], value: str, order: str) -> DataFrame:
+    """(*by, value): the mean of each group, its values added in the order given.
+
+    Sums of doubles depend on the order, and parts of a group that are added apart would decide by chance which of two equal means is greater.
+    Rows are sorted within groups, never gathered.
+    """
+    own = Window.partitionBy(*by).orderBy(order)
+    run = rows.select(*by, value, F.sum(value).over(own.rowsBetween(Window.unboundedPreceding, 0)).alias("_sum"), F.row_number().over(own).alias("_place"))
+    n = F.count(value)
+    return run.groupBy(*by).agg(F.when(n > 0, F.max_by("_sum", "_place") / n).alias(value))
+
+
 def paired_variants(runs: DataFrame) -> DataFrame:
     """(left, right, n, mean, sd, t, positive) for each two variants, the first name left, over the seeds that both have."""
     a, b = (runs.select(F.col("variant").alias(v), "seed", F.col("value").alias(f"_{v}")) for v in ("left", "right"))
