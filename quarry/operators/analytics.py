@@ -157,9 +157,9 @@ def leaks(text: Column) -> Column:
 
 def italian_marks(text: Column) -> list[Column]:
     """Whether a text has common Italian words, sentence marks, reasonable case and words with content."""
-    words, upper = tx.all_words(text), tx.all_upper(text)
+    words, upper = tx.all_words(F.replace(text, F.lit("İ"), F.lit("i"))), tx.all_upper(text)  # its lower case would be two characters
     return [
-        let(words, lambda w: F.exists(w, lambda x: tx.simple_lower(x).isin(*ITALIAN))).alias("italian_words"),
+        let(words, lambda w: F.exists(w, lambda x: F.lower(x).isin(*ITALIAN))).alias("italian_words"),
         F.rlike(text, F.lit("[.!?;:]")).alias("punctuation"),
         let(words, lambda w: ~upper & (F.size(w) > 3)).alias("casing"),
         let(words, lambda w: F.size(F.filter(w, lambda x: F.length(x) > 3)) > F.size(w) * 0.3).alias("content_words"),
