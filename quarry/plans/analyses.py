@@ -325,9 +325,10 @@ def extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "select \"left\", \"right\", count(*) as n, round(avg(d), 6) as mean, round(stddev_samp(d), 6) as sd, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) as t, count(*) filter (d > 0) as positive from d group by all"
 )
 def paired_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Means of a user's events of two types; values are added by event_id, the order in which the table lies."""
-    own = table(spark, sf_dir, "events").select(F.col("event_type").alias("variant"), F.col("user_id").alias("seed"), "value", "event_id")
-    return an.paired_variants(an.ordered_means(own, ("variant", "seed"), "value", "event_id"))
+    """Means of a user's events of two types; values are added in the order in which they lie in the files, as event_id may be null, come twice or run otherwise."""
+    place = F.struct("_metadata.file_path", "_metadata.row_index").alias("place")
+    own = table(spark, sf_dir, "events").select(F.col("event_type").alias("variant"), F.col("user_id").alias("seed"), "value", place)
+    return an.paired_variants(an.ordered_means(own, ("variant", "seed"), "value", "place"))
 
 
 @query("with f as (select user_id, min(event_id) as o from events group by 1) select user_id, row_number() over (order by o) - 1 as ix from f")

@@ -201,3 +201,20 @@ def test_paired_variants_with_equal_means(spark, tmp_path):
     found = [tuple(r) for r in df.collect()]
     assert 0 < found[0][-1] < 200
     assert found == held.sql(f"select {columns} from ({registry.ORACLES['paired_variants']})").fetchall()
+
+
+def test_paired_variants_where_ids_run_otherwise(spark, tmp_path):
+    """Equal means in files whose event_ids fall from file to file, come twice, or are null."""
+    folder = tmp_path / "events.parquet"
+    folder.mkdir()
+    orders = {(kind, u): random.Random(f"{kind}{u}").sample([0.1, 0.2, 0.3], 3) for kind in ("click", "error") for u in range(201)}
+    for part in range(3):
+        rows = [((-part, 7, None)[u % 3], u, kind, own[part]) for (kind, u), own in orders.items()]
+        spark.createDataFrame(rows, "event_id long, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/made/{part}")
+        next((tmp_path / "made" / str(part)).glob("*.parquet")).rename(folder / f"part-{part}.parquet")
+    held = duckdb.connect()
+    held.execute("set threads=1")
+    held.execute(f"create view events as select * from read_parquet('{folder}/*.parquet')")
+    df = registry.QUERIES["paired_variants"](spark, str(tmp_path))
+    columns = ", ".join(f'"{c}"' for c in df.columns)
+    assert [tuple(r) for r in df.collect()] == held.sql(f"select {columns} from ({registry.ORACLES['paired_variants']})").fetchall()
