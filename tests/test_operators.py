@@ -218,3 +218,14 @@ def test_paired_variants_where_ids_run_otherwise(spark, tmp_path):
     df = registry.QUERIES["paired_variants"](spark, str(tmp_path))
     columns = ", ".join(f'"{c}"' for c in df.columns)
     assert [tuple(r) for r in df.collect()] == held.sql(f"select {columns} from ({registry.ORACLES['paired_variants']})").fetchall()
+
+
+def test_first_differences_of_long_texts(spark, tmp_path):
+    """Every text has a row, however long it is."""
+    texts = [None, "", "o", "né", "e" * 2999, "e" * 2999 + "o", "é😀" * 1500 + "o", "e" * 200_000, "é" * 200_000 + "ono"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    held = duckdb.connect()
+    held.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    found = sorted(tuple(r) for r in registry.QUERIES["first_differences"](spark, str(tmp_path)).collect())
+    assert found == [(k, t.index("o") if "o" in t else None) for k, t in enumerate(texts) if t is not None]
+    assert found == sorted(held.sql(f"select doc_id, place from ({registry.ORACLES['first_differences']})").fetchall())
